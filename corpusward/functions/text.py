@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusward.functions.times import micros
+
 # The characters Python's str.split() and str.strip() treat as blank.
 WS_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
@@ -106,7 +108,7 @@ def iso_timestamp(ts: Column) -> Column:
     """ISO-8601 with microseconds only when there are any; null becomes an empty string."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.coalesce(F.when(F.unix_micros(ts) % 1000000 == 0, whole).otherwise(micros), F.lit(""))
+    return F.coalesce(F.when(micros(ts) % 1000000 == 0, whole).otherwise(micros), F.lit(""))
 
 
 def expand_query(query: Column, hypothetical: Column) -> Column:

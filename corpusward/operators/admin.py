@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusward.functions import access
 from corpusward.functions.text import iso_timestamp
+from corpusward.functions.times import micros
 
 MAX_RETRIES = 3
 BACKOFF_CAP_SECONDS = 60
@@ -94,7 +95,7 @@ def retries(
     return failures.filter(F.col("attempt") < max_retries).select(
         "filepath", "source_type", "error_message",
         (F.col("attempt") + 1).alias("attempt"),
-        F.timestamp_micros(F.unix_micros("ts") + wait * 1000000).alias("next_attempt_at"),
+        F.timestamp_micros(micros(F.col("ts")) + wait * 1000000).alias("next_attempt_at"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusward.functions import access
+from corpusward.functions.times import micros
 from corpusward.operators.search import dense_topk
 
 MAX_DISTANCE = 0.15
@@ -14,7 +15,7 @@ TTL_SECONDS = 3600
 
 def live(cache: DataFrame, as_of: Column, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     """Entries younger than the time to live."""
-    age = F.unix_micros(as_of) - F.unix_micros(F.col("created_at"))
+    age = micros(as_of) - micros(F.col("created_at"))
     return cache.filter(age < ttl_seconds * 1000000)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusward.functions import access, text
+from corpusward.functions.times import micros
 from corpusward.operators.running import time_bucket, with_running
 
 
@@ -99,13 +100,13 @@ def sessionize(
     are split over time buckets, so no task ever sorts a whole channel.
     """
     bucket = time_bucket(F.col(ts), bucket_seconds)
-    micros = F.unix_micros(F.col(ts))
+    at = micros(F.col(ts))
     linked = with_running(
         messages, [channel], [ts, tie], bucket,
         inclusive={"__seq": ("sum", F.lit(1))},
-        exclusive={"__last": ("max", micros)},
+        exclusive={"__last": ("max", at)},
     )
-    starts = F.col("__last").isNull() | (micros - F.col("__last") >= gap_seconds * 1000000)
+    starts = F.col("__last").isNull() | (at - F.col("__last") >= gap_seconds * 1000000)
     flagged = linked.withColumn("__start", starts)
     threaded = with_running(
         flagged, [channel], [ts, tie], bucket,

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusward.functions.times import micros
+
 _FOLD = {"sum": F.sum, "max": F.max}
 
 
@@ -21,7 +23,7 @@ def id_bucket(order: Column, bits: int = 16) -> Column:
 
 def time_bucket(ts: Column, seconds: int = 3600) -> Column:
     """Bucket for a timestamp order."""
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1000000)).cast("bigint")
+    return F.floor(micros(ts) / F.lit(seconds * 1000000)).cast("bigint")
 
 
 def with_running(
