@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("scalars", "relational")
+FAMILIES = ("scalars", "relational", "retrieval")
 
 
 def _merged(attribute: str) -> dict:

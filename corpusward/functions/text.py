@@ -107,8 +107,8 @@ def preview(text: Column, length: int = 100) -> Column:
 def iso_timestamp(ts: Column) -> Column:
     """ISO-8601 with microseconds only when there are any; null becomes an empty string."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.coalesce(F.when(micros(ts) % 1000000 == 0, whole).otherwise(micros), F.lit(""))
+    fine = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.coalesce(F.when(micros(ts) % 1000000 == 0, whole).otherwise(fine), F.lit(""))
 
 
 def expand_query(query: Column, hypothetical: Column) -> Column:

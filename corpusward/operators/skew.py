@@ -18,22 +18,22 @@ def join_hot(
     """
     values = [c for c in right.columns if c != key]
     fast = right.filter(hot).select(
-        F.col(key), F.lit(True).alias("__hot"), *[F.col(c).alias(f"__h_{c}") for c in values]
+        F.col(key), F.lit(True).alias("__fast"), *[F.col(c).alias(f"__h_{c}") for c in values]
     )
     slow = right.filter(~hot).select(
-        F.col(key).alias("__key"), F.lit(True).alias("__cold"), *[F.col(c) for c in values]
+        F.col(key).alias("__key"), F.lit(True).alias("__slow"), *[F.col(c) for c in values]
     )
     probed = left.join(F.broadcast(fast), key, "left").withColumn(
         "__key",
-        F.when(F.col("__hot"), F.concat(F.lit("\u0000"), spread.cast("string"))).otherwise(
+        F.when(F.col("__fast"), F.concat(F.lit("\u0000"), spread.cast("string"))).otherwise(
             F.col(key)
         ),
     )
     return (
         probed.join(slow, "__key", "left")
-        .filter(F.col("__hot") | F.col("__cold"))
+        .filter(F.col("__fast") | F.col("__slow"))
         .select(
             *left.columns,
-            *[F.when(F.col("__hot"), F.col(f"__h_{c}")).otherwise(F.col(c)).alias(c) for c in values],
+            *[F.when(F.col("__fast"), F.col(f"__h_{c}")).otherwise(F.col(c)).alias(c) for c in values],
         )
     )

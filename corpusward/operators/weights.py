@@ -34,13 +34,17 @@ def word_counts(chunks: DataFrame, key: str = "chunk_key", body: str = "text") -
 
 
 def vocabulary(chunks: DataFrame, body: str = "text") -> DataFrame:
-    """``(word, df, idf)``: in how many chunks each word occurs."""
+    """``(word, token, df, idf, hot)``: token id, and in how many chunks each word occurs.
+
+    Words are hashed here, once each, rather than at every occurrence.
+    """
     n_chunks = chunks.select(F.count("*")).scalar()
     seen = chunks.select(F.explode(F.array_distinct(words(F.col(body)))).alias("word"))
     return (
         seen.groupBy("word").agg(F.count("*").alias("df"))
         .withColumn("idf", idf_weight(n_chunks, F.col("df")))
         .withColumn("hot", F.col("df") >= HOT_SHARE * n_chunks)
+        .withColumn("token", token_id(F.col("word")))
     )
 
 
@@ -48,7 +52,7 @@ def lexical_weights(
     chunks: DataFrame, vocab: DataFrame, key: str = "chunk_key", body: str = "text",
     small_vocabulary: bool | None = None,
 ) -> DataFrame:
-    """``(key, word, weight)`` with weight = (1 + ln tf) * ln(1 + N / df).
+    """``(key, word, token, weight)`` with weight = (1 + ln tf) * ln(1 + N / df).
 
     Words missing from ``vocab`` are left out. A vocabulary of checked size is broadcast, which
     keeps the rows where they are; a larger one shuffles, with its hot words broadcast.
@@ -57,21 +61,17 @@ def lexical_weights(
         small_vocabulary = fits(vocab, VOCABULARY_BOUND)
     counts = word_counts(chunks, key, body)
     if small_vocabulary:
-        joined = counts.join(F.broadcast(vocab.select("word", "idf")), "word")
+        joined = counts.join(F.broadcast(vocab.select("word", "token", "idf")), "word")
     else:
         joined = join_hot(
-            counts, vocab.select("word", "idf", "hot"), "word", F.col("hot"), F.col(key)
+            counts, vocab.select("word", "token", "idf", "hot"), "word", F.col("hot"), F.col(key)
         )
-    return joined.select(key, "word", (tf_weight(F.col("tf")) * F.col("idf")).alias("weight"))
+    return joined.select(key, "word", "token", (tf_weight(F.col("tf")) * F.col("idf")).alias("weight"))
 
 
 def postings(weighted: DataFrame, key: str = "chunk_key") -> DataFrame:
     """``(key, token, weight)``; words that collide on a token id are merged."""
-    return (
-        weighted.select(key, token_id(F.col("word")).alias("token"), "weight")
-        .groupBy(key, "token")
-        .agg(F.sum("weight").alias("weight"))
-    )
+    return weighted.groupBy(key, "token").agg(F.sum("weight").alias("weight"))
 
 
 def sparse_vectors(posted: DataFrame, key: str = "chunk_key") -> DataFrame:
@@ -109,21 +109,35 @@ def encode(
     )
     packed = by_dim.groupBy(key).agg(
         F.array_sort(F.flatten(F.collect_list("__pairs"))).alias("__pairs"),
-        F.map_from_entries(F.collect_list(F.struct("__dim", "__value"))).alias("__dims"),
+        F.collect_list(F.struct(F.col("__dim").alias("d"), F.col("__value").alias("v"))).alias("__dims"),
+        F.sqrt(F.sum(F.col("__value") * F.col("__value"))).alias("__norm"),
     )
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda d: F.coalesce(F.try_element_at(F.col("__dims"), d), F.lit(0.0)),
+    every = F.sequence(F.lit(0), F.lit(dims - 1))
+    missing = F.transform(
+        F.array_except(every, F.col("__dims.d")),
+        lambda d: F.struct(d.alias("d"), F.lit(0.0).alias("v")),
     )
+    norm = F.when(F.col("__norm") > 0, F.col("__norm")).otherwise(1.0)
     return packed.select(
         key,
         F.col("__pairs.token").alias("tokens"),
         F.col("__pairs.weight").alias("weights"),
-        unit(raw).alias("dense"),
+        F.transform(
+            F.array_sort(F.concat("__dims", missing)), lambda e: e["v"] / norm
+        ).alias("dense"),
     )
 
 
 def unit(vec: Column) -> Column:
     """``vec`` scaled to length 1; a zero vector stays zero."""
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(vec, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    squares = F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x)
+    # the norm rides along as a one-element array, so it is computed once and not per element
+    return F.element_at(
+        F.transform(
+            F.array(F.sqrt(squares)),
+            lambda norm: F.transform(
+                vec, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))
+            ),
+        ),
+        1,
+    )
