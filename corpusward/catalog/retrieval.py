@@ -232,14 +232,15 @@ def retrieval_eval(spark, sf):
 
 # --- duplicates --------------------------------------------------------------------------------
 
-_SETS = f"""sets AS (SELECT doc_id, list_distinct({t.sql_words('text')}) AS words FROM documents),
-sized AS (SELECT *, len(words) AS n FROM sets),
-edges AS (
-  SELECT a.doc_id AS first, b.doc_id AS later,
-         len(list_intersect(a.words, b.words)) / (a.n + b.n - len(list_intersect(a.words, b.words))) AS jaccard
-  FROM sized a JOIN sized b ON a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n)
-  WHERE len(list_intersect(a.words, b.words)) / (a.n + b.n - len(list_intersect(a.words, b.words))) >= 0.9),
-numbered AS (
+_SETS = f"""sets AS MATERIALIZED (
+  SELECT doc_id, words, len(words) AS n FROM (
+    SELECT doc_id, list_distinct({t.sql_words('text')}) AS words FROM documents)),
+close AS MATERIALIZED (
+  SELECT a.doc_id AS first, b.doc_id AS later, a.n + b.n AS total, len(list_intersect(a.words, b.words)) AS common
+  FROM sets a JOIN sets b ON a.doc_id < b.doc_id AND a.n >= 0.9 * b.n AND b.n >= 0.9 * a.n),
+edges AS MATERIALIZED (
+  SELECT first, later, common / (total - common) AS jaccard FROM close WHERE common / (total - common) >= 0.9),
+numbered AS MATERIALIZED (
   SELECT later, list(first) AS firsts, row_number() OVER (ORDER BY later) AS i FROM edges GROUP BY later)"""
 
 _GREEDY = f"""{_SETS}, greedy AS (
@@ -248,7 +249,7 @@ _GREEDY = f"""{_SETS}, greedy AS (
   SELECT n.i, CASE WHEN len(list_filter(n.firsts, lambda f: NOT list_contains(g.dropped, f))) > 0
                    THEN list_append(g.dropped, n.later) ELSE g.dropped END
   FROM greedy g JOIN numbered n ON n.i = g.i + 1),
-dropped AS (SELECT unnest(dropped) AS doc_id FROM (SELECT dropped FROM greedy ORDER BY i DESC LIMIT 1))"""
+dropped AS MATERIALIZED (SELECT unnest(dropped) AS doc_id FROM (SELECT dropped FROM greedy ORDER BY i DESC LIMIT 1))"""
 
 
 @query(f"""WITH RECURSIVE {_GREEDY}
