@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("scalars", "relational", "retrieval")
+FAMILIES = ("scalars", "relational", "retrieval", "flows")
 
 
 def _merged(attribute: str) -> dict:

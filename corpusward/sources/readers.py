@@ -121,12 +121,12 @@ def parse_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_table_rows(
-    spark: SparkSession, path: str | list[str], schema: str, separator: str = " "
+    spark: SparkSession, path: str | list[str], schema: str, separator: str = " ", **options
 ) -> DataFrame:
     """``(filename, row_text, header)`` per row of delimited tables with a header line."""
     table = (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-        .option("mode", "PERMISSIVE").csv(path)
+        spark.read.schema(schema).option("header", True)
+        .option("mode", "PERMISSIVE").options(**options).csv(path)
     )
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in table.columns]
     return table.select(
