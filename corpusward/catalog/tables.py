@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusward.functions.access import strings
+from corpusward.session import spread
 
 # whitespace class and trim characters for SQL text
 WS = (
@@ -28,7 +29,9 @@ def sql_words(expr: str) -> str:
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+    """A table; texts of a small table are spread over all cores, since work on them is heavy."""
+    df = spark.read.parquet(f"{sf}/{table}.parquet")
+    return spread(df) if table == "documents" else df
 
 
 def joined(column) -> F.Column:

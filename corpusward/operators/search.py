@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusward.functions.access import PUBLIC
-from corpusward.functions.text import word_set
+from corpusward.functions.text import let, word_set
 from corpusward.session import fits
 
 QUESTION_BOUND = 4096
@@ -265,9 +265,11 @@ def rerank_fallback(pool: DataFrame, limit: int) -> DataFrame:
 
 def overlap_score(query, text):
     """Share of the question's distinct words that the chunk holds."""
-    asked = word_set(query)
-    found = F.size(F.array_intersect(asked, word_set(text)))
-    return F.when(F.size(asked) > 0, found / F.size(asked)).otherwise(F.lit(0.0))
+    def share(asked):
+        found = F.size(F.array_intersect(asked, word_set(text)))
+        return F.when(F.size(asked) > 0, found / F.size(asked)).otherwise(F.lit(0.0))
+
+    return let(word_set(query), share)
 
 
 def with_text(pool: DataFrame, chunks: DataFrame, small: bool) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusward.functions.text import token_id, words
+from corpusward.functions.text import let, token_id, words
 from corpusward.operators.skew import join_hot
 from corpusward.session import fits
 
@@ -131,13 +131,7 @@ def encode(
 def unit(vec: Column) -> Column:
     """``vec`` scaled to length 1; a zero vector stays zero."""
     squares = F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x)
-    # the norm rides along as a one-element array, so it is computed once and not per element
-    return F.element_at(
-        F.transform(
-            F.array(F.sqrt(squares)),
-            lambda norm: F.transform(
-                vec, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))
-            ),
-        ),
-        1,
+    return let(
+        F.sqrt(squares),
+        lambda norm: F.transform(vec, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))),
     )

@@ -54,3 +54,9 @@ def cut(df: DataFrame) -> DataFrame:
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input of fewer splits than cores over all of them; larger inputs stay as read."""
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
