@@ -92,7 +92,7 @@ def whole_table_chunks(rows: DataFrame, bucket: Column, rows_per_part: int = 100
 
 def sessionize(
     messages: DataFrame, channel: str = "channel", ts: str = "ts", tie: str = "pos",
-    gap_seconds: int = 600, bucket_seconds: int = 3600,
+    gap_seconds: int = 600, bucket_seconds: int = 86400,
 ) -> DataFrame:
     """Number the threads of every channel: a gap of ``gap_seconds`` or more starts a new one.
 

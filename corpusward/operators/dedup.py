@@ -259,7 +259,7 @@ def matches(
     fresh = cut(fresh)
     if known_blocks is None:
         known_blocks = blocks(known)
-    known_small = known.filter(F.col("n") > 0).select("print", F.col("key").alias("kept_key"))
+    known_small = known.select("print", F.col("key").alias("kept_key"))
     firsts = known_small.groupBy("print").agg(F.min("kept_key").alias("kept_key"))
     frequent = fresh.groupBy("print").agg(F.count("*").alias("__n"))
     total = fresh.select(F.count("*")).scalar()

@@ -77,8 +77,8 @@ def read_markdown(spark: SparkSession, path: str | list[str], bundled: bool = Fa
     One file per document, or with ``bundled`` many documents per file, separated by the ASCII
     record separator. Bundles are splittable and spare the cluster millions of tiny files.
     """
-    reader = spark.read.option("lineSep", RECORD) if bundled else spark.read.option("wholetext", True)
-    return reader.text(path).select(
+    read = spark.read.text(path, lineSep=RECORD) if bundled else spark.read.text(path, wholetext=True)
+    return read.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("filename"),
         F.col("value").alias("text"),
