@@ -101,7 +101,7 @@ def _legs(spark, sf, legs):
 @query(f"WITH {_WEIGHTS} SELECT chunk_key, word, weight FROM weighted")
 def lexical_weights(spark, sf):
     chunks = t.chunks(spark, sf)
-    return weights.lexical_weights(chunks, cut(weights.vocabulary(chunks)))
+    return weights.lexical_weights(chunks, cut(weights.vocabulary(chunks))).drop("token")
 
 
 @query(f"""WITH {_WEIGHTS}
@@ -218,6 +218,8 @@ def _gold(spark, sf):
     keys = inner.groupBy("query_id").agg(longest.alias("word")).join(asked, "query_id")
     chunks = t.chunks(spark, sf)
     held = chunks.select("chunk_key", F.explode(F.array_distinct(F.split("text", "[^A-Za-z]+"))).alias("word"))
+    if search.fits(asked, search.QUESTION_BOUND):
+        keys = F.broadcast(keys)
     near = held.join(keys, "word").select("query_id", "query", "chunk_key")
     return (
         near.join(chunks.select("chunk_key", "text"), "chunk_key")

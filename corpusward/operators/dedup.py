@@ -167,7 +167,8 @@ def _shared(member: DataFrame) -> DataFrame:
 
 def near_dropped(sets: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(key)``: chunks of pairwise different word sets that an earlier kept chunk duplicates."""
-    member = cut(_shared(blocks))
+    # written first: counting the blocks and picking the shared ones would build them twice
+    member = cut(_shared(cut(blocks)))
     busy = cut(sets.join(member.select("key").distinct(), "key", "left_semi").select("key", "words"))
     edges: DataFrame | None = None
     dropped: list[DataFrame] = []

@@ -306,6 +306,5 @@ def search(
     fused = fuse(legs_topk(index, asked, pool), pool)
     small = fits(questions, QUESTION_BOUND)
     plain = questions.select("query_id", "query")
-    fused = fused.join(F.broadcast(plain) if small else plain, "query_id")
-    found = with_text(fused, chunks, small)
+    found = with_text(fused, chunks, small).join(F.broadcast(plain) if small else plain, "query_id")
     return rerank(found, limit, scorer) if reranked else rerank_fallback(found, limit)

@@ -46,9 +46,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so a lost executor costs one re-read."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table written to the shared folder.
+
+    A lost executor costs one re-read; later joins prune its columns and know its size.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fits(df: DataFrame, rows: int) -> bool:
