@@ -165,8 +165,13 @@ def _shared(member: DataFrame) -> DataFrame:
     return member.join(several, "block", "left_semi")
 
 
-def near_dropped(sets: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(key)``: chunks of pairwise different word sets that an earlier kept chunk duplicates."""
+def near_dropped(
+    sets: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD, verify: bool = True
+) -> DataFrame:
+    """``(key)``: chunks of pairwise different word sets that an earlier kept chunk duplicates.
+
+    Without ``verify`` a shared block alone makes a duplicate, whatever the similarity.
+    """
     # written first: counting the blocks and picking the shared ones would build them twice
     member = cut(_shared(cut(blocks)))
     busy = cut(sets.join(member.select("key").distinct(), "key", "left_semi").select("key", "words"))
@@ -183,11 +188,13 @@ def near_dropped(sets: DataFrame, blocks: DataFrame, threshold: float = THRESHOL
                     leaders.select("block", F.col("key").alias("first"), F.col("n").alias("__n")),
                     "block",
                 )
-                .filter((F.col("first") < F.col("key")) & _size_ok(F.col("n"), F.col("__n"), threshold))
-                .select("first", F.col("key").alias("later"))
-                .distinct()
+                .filter(F.col("first") < F.col("key"))
             )
-            found = _verify(cut(pairs), busy, busy, threshold).select("first", "later")
+            if verify:
+                pairs = pairs.filter(_size_ok(F.col("n"), F.col("__n"), threshold))
+            found = pairs.select("first", F.col("key").alias("later")).distinct()
+            if verify:
+                found = _verify(cut(found), busy, busy, threshold).select("first", "later")
             edges = cut(found if edges is None else edges.unionByName(found).distinct())
             member = member.join(leaders, ["block", "key"], "left_anti")
             member = cut(_shared(member))
@@ -233,18 +240,24 @@ def _decide(edges: DataFrame, member: DataFrame) -> tuple[DataFrame, DataFrame |
 
 def keep_first(
     chunks: DataFrame, key: str = "chunk_key", body: str = "text", threshold: float = THRESHOLD,
-    blocks=blocks_from_parts,
+    blocks=blocks_from_parts, verify: bool = True,
 ) -> DataFrame:
-    """``chunks`` without near-duplicates of an earlier kept chunk."""
-    kept, _ = _split(word_sets(chunks, key, body), threshold, blocks)
+    """``chunks`` without near-duplicates of an earlier kept chunk.
+
+    ``blocks=partial(blocks_from_bands, bands=PARITY_BANDS), verify=False`` drops on any band hit,
+    which finds only about a third of the pairs right at the threshold.
+    """
+    kept, _ = _split(word_sets(chunks, key, body), threshold, blocks, verify)
     return chunks.join(kept.withColumnRenamed("key", key), key, "left_semi")
 
 
-def _split(sets: DataFrame, threshold: float, blocks) -> tuple[DataFrame, DataFrame]:
+def _split(
+    sets: DataFrame, threshold: float, blocks, verify: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """Keys kept, and the distinct word sets of all earliest copies."""
     sets = cut(sets)
     firsts = sets.join(exact_first(sets), "key", "left_semi")
-    lost = near_dropped(firsts, blocks(firsts), threshold)
+    lost = near_dropped(firsts, blocks(firsts), threshold, verify)
     return cut(firsts.select("key").join(lost, "key", "left_anti")), sets
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from functools import partial
 
 import numpy as np
 import pytest
@@ -150,6 +151,14 @@ def test_bands_as_option(spark):
     assert set(got) >= set(greedy(texts)[0])
 
 
+def test_unverified_bands_drop_on_any_hit(spark):
+    base = [f"w{i}" for i in range(100)]
+    texts = [(1, " ".join(base)), (2, " ".join(base[:99] + ["x"])), (3, " ".join(f"v{i}" for i in range(100)))]
+    df = spark.createDataFrame(texts, "chunk_key long, text string")
+    got = dedup.keep_first(df, blocks=partial(dedup.blocks_from_bands, bands=(40, 2)), verify=False)
+    assert rows(got, "chunk_key") == [(1,), (3,)]
+
+
 # --- search -------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
