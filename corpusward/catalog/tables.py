@@ -279,7 +279,7 @@ def cache(spark: SparkSession, sf: str) -> DataFrame:
         behind.alias("chunk_groups"), F.array_distinct(F.flatten(behind)).alias("allowed_groups"),
         F.col("embedding").cast("array<double>").alias("dense"),
         F.array_distinct(F.array(F.concat(F.lit("src"), F.col("vec_id") % 20), F.concat(F.lit("src"), F.col("label")))).alias("files"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("vec_id") * 15).alias("created_at"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("vec_id") * 15)).alias("created_at"),
     )
 
 
