@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import quality
+from corpusward.llm import quality, simhash
 
 QUERIES, SQL = {}, {}
 
@@ -60,3 +60,8 @@ def op9_quality_rules(spark, sf):
         (~quality.passes(F.col("failed"), base)).alias("base_failed"),
         quality.passes(F.col("failed"), current).alias("kept"), "failed",
     )
+
+
+@query()
+def op7_simhash(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
