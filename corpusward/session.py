@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,9 +30,15 @@ def build_session(app: str = "corpusward", master: str | None = None, **conf: st
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    A temporary folder stands in only where all executors are threads of this machine; a cluster
+    must name a folder that its executors share.
+    """
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="run-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -53,7 +60,20 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Remove tables made by ``cut`` that nothing reads any more; other frames are left alone."""
+    for table in tables:
+        path = getattr(table, "scratch", None)
+        if path:
+            jvm = table.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            conf = table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            place.getFileSystem(conf).delete(place, True)
 
 
 def fits(df: DataFrame, rows: int) -> bool:
