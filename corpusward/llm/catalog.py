@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import quality, simhash
+from corpusward.llm import exact, quality, simhash
 
 QUERIES, SQL = {}, {}
 
@@ -65,3 +65,10 @@ def op9_quality_rules(spark, sf):
 @query()
 def op7_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("""SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents) WINDOW same AS (PARTITION BY body)""")
+def op3_exact_dedup(spark, sf):
+    return exact.duplicates(table(spark, sf, "documents"))
