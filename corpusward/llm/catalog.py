@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import exact, quality, simhash
+from corpusward.llm import exact, mixing, quality, simhash
 
 QUERIES, SQL = {}, {}
 
@@ -72,3 +72,34 @@ def op7_simhash(spark, sf):
 FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents) WINDOW same AS (PARTITION BY body)""")
 def op3_exact_dedup(spark, sf):
     return exact.duplicates(table(spark, sf, "documents"))
+
+
+@query(rf"""WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_BLANK_RUN}+'))::BIGINT AS size
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+        CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
+          WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM d GROUP BY source),
+o AS (SELECT *, 3 * source_size AS cap, row_number() OVER f AS k,
+        sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0) AS left_over,
+        sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS open_w
+      FROM s WINDOW f AS (ORDER BY 3 * source_size / w, source NULLS LAST),
+        b AS (ORDER BY 3 * source_size / w, source NULLS LAST
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+first AS (SELECT * FROM o WHERE left_over * w <= cap * open_w ORDER BY k LIMIT 1),
+t AS (SELECT o.source, o.source_size, CASE WHEN o.k < f.k THEN o.cap::DOUBLE
+        ELSE (o.w * f.left_over)::DOUBLE / f.open_w::DOUBLE END AS target FROM o, first f),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS whole FROM t),
+r AS (SELECT *, greatest(target - whole * source_size, 0) AS rest FROM p),
+u AS (SELECT doc_id, size, r.*,
+        (('0x' || substr(md5('10:' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u,
+        CASE WHEN r.source_size > 0 THEN rest / r.source_size ELSE 0 END AS p
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+q AS (SELECT *, CASE WHEN p >= 1 THEN 0 WHEN p <= 0 THEN 'inf'::DOUBLE
+        ELSE (u / (1 - u)) / (p / (1 - p)) END AS rank FROM u),
+c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q),
+n AS (SELECT *, (whole + CASE WHEN p > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM c)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM n""")
+def op10_mix_sources(spark, sf):
+    return mixing.mix(table(spark, sf, "documents"))

@@ -21,10 +21,10 @@ are not read, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusward.llm.rows import PLACE, located
 from corpusward.llm.words import whole
 from corpusward.operators.skew import join_hot
 from corpusward.session import cut, scratch_path
@@ -39,18 +39,6 @@ STATE_SETTINGS = {
 }
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__file`` and ``__row``; rows that lie in no file are written to one."""
-    def place(df: DataFrame) -> DataFrame:
-        at = df.metadataColumn("_metadata")
-        return df.select("*", at["file_path"].alias("__file"), at["row_index"].alias("__row"))
-
-    try:
-        return place(docs)
-    except AnalysisException:
-        return place(cut(docs))
-
-
 def arrivals(rows: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
     """``(id, digest, file, row)`` of located rows."""
     return rows.select(
@@ -157,4 +145,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFr
     gone = _groups(rows, key, body).filter(~_stays()).select(
         F.col("file").alias("__file"), F.col("row").alias("__row")
     )
-    return rows.join(gone, ["__file", "__row"], "left_anti").select(*docs.columns)
+    return rows.join(gone, PLACE, "left_anti").select(*docs.columns)
