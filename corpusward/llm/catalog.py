@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import exact, mixing, quality, simhash
+from corpusward.llm import exact, mixing, pieces, quality, simhash
 
 QUERIES, SQL = {}, {}
 
@@ -103,3 +104,8 @@ n AS (SELECT *, (whole + CASE WHEN p > 0 AND 2 * before + size <= 2 * rest THEN
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM n""")
 def op10_mix_sources(spark, sf):
     return mixing.mix(table(spark, sf, "documents"))
+
+
+@query()
+def op4_sentencepiece(spark, sf):
+    return pieces.round_trip(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
