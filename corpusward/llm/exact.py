@@ -36,6 +36,8 @@ STATE_SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # else every partition of the state reserves several megabytes before it holds anything
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -47,12 +49,18 @@ def arrivals(rows: DataFrame, key: str = "doc_id", body: str = "text") -> DataFr
     )
 
 
-def absorb(spark: SparkSession, source: str, schema, checkpoint: str) -> None:
-    """Feed all arrivals below ``source`` that the state at ``checkpoint`` has not seen yet."""
+def _state_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for the state's settings, in the same application."""
     own = spark.newSession()
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     for name, value in STATE_SETTINGS.items():
         own.conf.set(name, value)
+    return own
+
+
+def absorb(spark: SparkSession, source: str, schema, checkpoint: str) -> None:
+    """Feed all arrivals below ``source`` that the state at ``checkpoint`` has not seen yet."""
+    own = _state_session(spark)
     state = (
         own.readStream.schema(schema).parquet(source)
         .groupBy("digest")
@@ -67,8 +75,11 @@ def absorb(spark: SparkSession, source: str, schema, checkpoint: str) -> None:
 
 def known(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The state as a table ``(digest, n, id, file, row)``: one row per digest ever seen."""
-    state = spark.read.format("statestore").load(checkpoint).select("key.*", "value.*")
-    return state.toDF("digest", "n", "stays").select("digest", "n", "stays.*")
+    state = _state_session(spark).read.format("statestore").load(checkpoint)
+    rows = state.select("key.*", "value.*").toDF("digest", "n", "stays")
+    path = scratch_path(spark, "known")
+    rows.select("digest", "n", "stays.*").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _assigned(arrived: DataFrame, state: DataFrame) -> DataFrame:
