@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import exact, mixing, pieces, quality, simhash
+from corpusward.llm import exact, mixing, pieces, quality, simhash, tokens
+from corpusward.session import scratch_path
 
 QUERIES, SQL = {}, {}
 
@@ -109,3 +110,15 @@ def op10_mix_sources(spark, sf):
 @query()
 def op4_sentencepiece(spark, sf):
     return pieces.round_trip(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op1_token_binary(spark, sf):
+    path = scratch_path(spark, "tokens")
+    tokens.write_tokens(
+        table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2
+    )
+    rows = tokens.checksums(tokens.read_tokens(spark, path))
+    return tokens.with_start(rows, tokens.shard_starts(spark, path)).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32"
+    )

@@ -36,6 +36,7 @@ WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 SEED = 10
 BUCKET_ROWS = 50_000
+LEAST_BUCKETS = 256
 HOT_SHARE = 0.001
 _BITS = 52
 
@@ -134,7 +135,7 @@ def sample(
         / F.when(F.col("mean_weight") > 0, F.col("mean_weight")).otherwise(F.lit(1.0)),
     ).otherwise(F.lit(0.0))
     rank = F.col("__rank")
-    buckets = F.greatest(F.lit(16), F.ceil(total / F.lit(bucket_rows))).cast("bigint")
+    buckets = F.greatest(F.lit(LEAST_BUCKETS), F.ceil(total / F.lit(bucket_rows))).cast("bigint")
     keyed = rows.withColumn("__source", _source_key())
     ranked = cut(
         join_hot(
