@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import exact, mixing, pieces, quality, simhash, tokens
+from corpusward.llm import exact, mixing, pieces, quality, simhash, tokens, warc
 from corpusward.session import scratch_path
 
 QUERIES, SQL = {}, {}
@@ -122,3 +122,18 @@ def op1_token_binary(spark, sf):
     return tokens.with_start(rows, tokens.shard_starts(spark, path)).select(
         F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32"
     )
+
+
+@query("""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+k AS (SELECT *, CASE WHEN payload_bytes >= 1000
+  THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS keeper FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM k""")
+def op2_warc(spark, sf):
+    root = scratch_path(spark, "warc")
+    index = warc.write_archives(table(spark, sf, "pages"), root)
+    return warc.read_records(index, root, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
