@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import exact, mixing, pieces, quality, simhash, tokens, warc
+from corpusward.llm import chat, exact, mixing, pieces, quality, simhash, tokens, warc
 from corpusward.session import scratch_path
 
 QUERIES, SQL = {}, {}
@@ -137,3 +137,8 @@ def op2_warc(spark, sf):
     return warc.read_records(index, root, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query()
+def op8_chat_format(spark, sf):
+    return chat.repair(table(spark, sf, "conversations"))
