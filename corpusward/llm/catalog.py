@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import chat, exact, mixing, pieces, quality, simhash, tokens, warc
+from corpusward.llm import chat, exact, licenses, mixing, pieces, quality, simhash, tokens, warc
 from corpusward.session import scratch_path
 
 QUERIES, SQL = {}, {}
@@ -142,3 +142,8 @@ def op2_warc(spark, sf):
 @query()
 def op8_chat_format(spark, sf):
     return chat.repair(table(spark, sf, "conversations"))
+
+
+@query()
+def op5_license_scan(spark, sf):
+    return licenses.scan(table(spark, sf, "documents"))
