@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import chat, exact, licenses, mixing, pieces, quality, simhash, tokens, warc
+from corpusward.llm import chat, exact, licenses, mixing, pieces, quality, simhash, tokens, toxicity, warc
 from corpusward.session import scratch_path
 
 QUERIES, SQL = {}, {}
@@ -147,3 +147,14 @@ def op8_chat_format(spark, sf):
 @query()
 def op5_license_scan(spark, sf):
     return licenses.scan(table(spark, sf, "documents"))
+
+
+# What the labels say, rarest last: poor texts, hostile ones, and those that are both.
+TOXIC_CHAIN = {"poor": "quality = 0", "toxic_poor": "quality = 0 AND toxic = 1", "toxic": "toxic = 1"}
+
+
+@query()
+def op6_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = toxicity.train(docs, table(spark, sf, "labels"), TOXIC_CHAIN)
+    return toxicity.flagged(toxicity.score(docs, model))
