@@ -30,8 +30,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusward.llm.memory import Memory, sliced
+
 MARK = "▁"
-REMEMBERED = 400_000
+# Words, and pairs of pieces, that a generation of a worker's memory holds.
+REMEMBERED = 100_000
+_PAIR = 1 << 24
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -59,9 +63,10 @@ class Encoder:
         for piece, i in self.pieces.items():
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        self.remembered = remembered
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.pairs = Memory(self._compatible, remembered)
+        # Words after a blank mark are remembered without it; a line start stands for itself.
+        self.words = Memory(lambda w: self.word(w if w.startswith("\n") else MARK + w), remembered)
+        self.others = Memory(self.word, remembered // 10)
 
     def merged(self, text: str) -> list[str]:
         """Plain BPE: again and again the best-scored adjacent pair, the leftmost of equals."""
@@ -77,16 +82,14 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether the two pieces in a row are encoded as themselves; ``left`` -1 is the start."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            wanted = [self.names[i] for i in (left, right) if i >= 0]
-            known = self.merged("".join(wanted)) == wanted
-            if len(self.pairs) >= self.remembered:
-                self.pairs.clear()
-            self.pairs[left, right] = known
-        return known
+    def _compatible(self, pair: int) -> bool:
+        """Whether two pieces in a row are encoded as themselves; number 0 is the text's start.
+
+        ``pair`` holds the left piece's id plus one in its upper bits, the right one's id below.
+        """
+        left, right = divmod(pair, _PAIR)
+        wanted = [*([self.names[left - 1]] if left else []), self.names[right]]
+        return self.merged("".join(wanted)) == wanted
 
     def run(self, text: str) -> list[int]:
         """Ids of a text of known characters only."""
@@ -98,11 +101,7 @@ class Encoder:
             if last[end] >= 0:
                 continue
             start = end - width
-            left = last[start]
-            fits = pairs.get((left, piece))
-            if fits is None:
-                fits = self.compatible(left, piece)
-            if fits:
+            if pairs[(last[start] + 1) * _PAIR + piece]:
                 last[end], begin[end] = piece, start
         ids, at = [], len(text)
         while at:
@@ -129,21 +128,10 @@ class Encoder:
         if not text:
             return []
         text = self.library.normalize(text)
-        # Words are looked up without their blank mark; a line start stands for itself.
         if text.startswith(MARK) and MARK * 2 not in text and f"{MARK}\n" not in text:
-            words = text.replace("\n", f"{MARK}\n").split(MARK)[1:]
-            whole = lambda w: w if w.startswith("\n") else MARK + w
-        else:
-            words, whole = [f"{MARK}{w}" for w in _WORD.findall(text)], lambda w: w[1:]
-        known, out = self.words, []
-        for word in words:
-            entry = known.get(word)
-            if entry is None:
-                if len(known) >= self.remembered:
-                    known.clear()
-                known[word] = entry = self.word(whole(word))
-            out.append(entry)
-        return out
+            known = self.words
+            return [known[w] for w in text.replace("\n", f"{MARK}\n").split(MARK)[1:]]
+        return [self.others[w] for w in _WORD.findall(text)]
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(e[0] for e in self.entries(text or "")))
@@ -169,7 +157,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", body: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = pa.array([own.encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
 
@@ -183,7 +171,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = pa.array([own.decode(v.as_py() or []) for v in batch.column(1)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["id", "text"])
 
@@ -210,7 +198,7 @@ def round_trip(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, of_ids, of_text, kept = [], [], [], []
             for text in batch.column(1):
                 entries = own.entries(text.as_py() or "")

@@ -36,7 +36,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-REMEMBERED = 400_000
+from corpusward.llm.memory import Memory, sliced
+
+# Units that a generation of a worker's memory holds.
+REMEMBERED = 150_000
 WRITER = {
     "compression": "zstd",
     "parquet.writer.version": "v2",
@@ -75,29 +78,20 @@ class Encoder:
         )
         self.special = [token["content"] for token in form.get("added_tokens") or []]
         self.names = _byte_names()
-        self.remembered = remembered
-        self.words: dict[str, bytes] = {}  # units without their leading blank
-        self.units: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _room(self, memory: dict) -> None:
-        if len(memory) >= self.remembered:
-            memory.clear()
+        self.words = Memory(self._word, remembered)  # units without their leading blank
+        self.units = Memory(self._unit, remembered // 10)
+        self.parts = Memory(self._part, remembered)
 
     def _part(self, mapped: str) -> bytes:
         """Ids of one pre-token, given in byte characters."""
-        ids = self.parts.get(mapped)
-        if ids is None:
-            self._room(self.parts)
-            found = [token.id for token in self.library.model.tokenize(mapped)]
-            self.parts[mapped] = ids = np.array(found, "<u4").tobytes()
-        return ids
+        found = [token.id for token in self.library.model.tokenize(mapped)]
+        return np.array(found, "<u4").tobytes()
 
     def _unit(self, text: str) -> bytes:
         if text.isalpha() or (text[:1] == " " and text[1:].isalpha()):  # one pre-token
-            return self._part(text.encode().decode("latin-1").translate(self.names))
+            return self.parts[text.encode().decode("latin-1").translate(self.names)]
         pieces = self.library.pre_tokenizer.pre_tokenize_str(text)
-        return b"".join([self._part(mapped) for mapped, _ in pieces])
+        return b"".join([self.parts[mapped] for mapped, _ in pieces])
 
     def _whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
@@ -110,24 +104,14 @@ class Encoder:
         if not self.by_unit or any(token in text for token in self.special):
             return self._whole(text)
         if _IRREGULAR.search(text):
-            return self._looked_up(_CUT.split(text), self.units, self._unit)
+            return b"".join([self.units[unit] for unit in _CUT.split(text)])
         first, *rest = text.replace("\n", " \n").split(" ")
-        head = self._looked_up([first], self.units, self._unit)
-        return head + self._looked_up(rest, self.words, self._word)
+        words = self.words
+        return self.units[first] + b"".join([words[word] for word in rest])
 
     def _word(self, text: str) -> bytes:
         return self._unit(text if text[:1] == "\n" else f" {text}")
 
-    def _looked_up(self, units: list[str], memory: dict, make) -> bytes:
-        out = []
-        for unit in units:
-            ids = memory.get(unit)
-            if ids is None:
-                self._room(memory)
-                memory[unit] = ids = make(unit)
-            out.append(ids)
-        return b"".join(out)
-
 
 @lru_cache(maxsize=2)
 def encoder(spec: str) -> Encoder:
@@ -140,7 +124,7 @@ def _encoded(spec: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shard, offset = encoder(spec), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [own.encode(text.as_py()) + end for text in batch.column(1)]
             counts = np.array([len(r) // 4 for r in rows], np.int64)
             ends = np.cumsum(counts)
@@ -199,7 +183,7 @@ def with_start(rows: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         ids = batch["ids"]
         bounds = ids.offsets.to_numpy()
         flat = ids.values.to_numpy().astype("<u4")
