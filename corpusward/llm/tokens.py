@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,7 +40,7 @@ from tokenizers import Tokenizer
 from corpusward.llm.memory import Memory, sliced
 
 # Units that a generation of a worker's memory holds.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 WRITER = {
     "compression": "zstd",
     "parquet.writer.version": "v2",
@@ -53,6 +54,8 @@ WRITER = {
 }
 # A unit starts at a blank that follows another character; \S excludes every kind of blank.
 _CUT = re.compile(r"(?<=\S)(?=[ \t\n\r])")
+# Marks that never join the word before them, nor split a run of themselves.
+_MARKS = ".,;:!?#$%&*|()"
 _IRREGULAR = re.compile(r"\s\s|\A\s")
 
 
@@ -63,6 +66,10 @@ def _byte_names() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(other)}}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Encodes with one tokenizer file; remembers units within a bound."""
 
@@ -84,18 +91,29 @@ class Encoder:
 
     def _part(self, mapped: str) -> bytes:
         """Ids of one pre-token, given in byte characters."""
-        found = [token.id for token in self.library.model.tokenize(mapped)]
-        return np.array(found, "<u4").tobytes()
+        return _packed([token.id for token in self.library.model.tokenize(mapped)])
+
+    def _mapped(self, part: str) -> bytes:
+        if part.isascii():
+            return self.parts[part.replace(" ", self.names[32])]
+        return self.parts[part.encode().decode("latin-1").translate(self.names)]
 
     def _unit(self, text: str) -> bytes:
-        if text.isalpha() or (text[:1] == " " and text[1:].isalpha()):  # one pre-token
-            return self.parts[text.encode().decode("latin-1").translate(self.names)]
+        """Ids of a unit; the common forms are cut here, others by the library.
+
+        A line end, a word with or without a blank, and marks behind it are a pre-token each.
+        """
+        word = text.rstrip(_MARKS)
+        lead = word[:1] == "\n"
+        bare = word[1:] if lead or word[:1] == " " else word
+        if bare.isalpha():
+            ids = self.parts[self.names[10]] + self._mapped(bare) if lead else self._mapped(word)
+            return ids + self.parts[text[len(word) :]] if len(word) < len(text) else ids
         pieces = self.library.pre_tokenizer.pre_tokenize_str(text)
         return b"".join([self.parts[mapped] for mapped, _ in pieces])
 
     def _whole(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return _packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
