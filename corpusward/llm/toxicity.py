@@ -12,7 +12,7 @@ presence is most closely bound to a category, enter the models. Fitting is numpy
 bounded tables. Every document is scored, whole, in place, without a shuffle; what each task gets is
 the model, at most ``max_features`` words.
 
-Defined results: a null or empty text has no words and gets the models' intercepts; labels with a
+Defined results: a null or empty text has no words and gets each category's share; labels with a
 null id are ignored, of repeated ones the largest value of each category counts, a null value counts
 as 0; a label table without both values of a category gives that category its share; rows with a
 null or repeated id are scored like any other; an empty table gives an empty result; columns other
@@ -79,7 +79,7 @@ class Rows:
 
 @dataclass
 class Linear:
-    """``intercept + words . x + earlier . log odds``."""
+    """``intercept + words . x + earlier . e``, ``e`` being earlier log odds over their intercepts."""
 
     intercept: float
     words: np.ndarray
@@ -107,6 +107,7 @@ def fit(
         error = weight * (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - target)
         slope = np.concatenate([[error.sum()], error @ earlier, rows.back(error, width)])
         slope[1:] += penalty * theta[1:] / len(target)
+        slope[0] = 0.0  # a text that says nothing keeps the category's share
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope**2
         theta -= 0.2 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
@@ -130,7 +131,8 @@ def fit_chain(
             if len(others) and len(held):
                 part = rows.of(others)
                 model = fit(part, earlier[others], target[others], weight[others], width, rounds)
-                unseen[held] = model.log_odds(rows.of(held).dot(model.words), earlier[held])
+                odds = model.log_odds(rows.of(held).dot(model.words), earlier[held])
+                unseen[held] = odds - model.intercept
         earlier = np.column_stack([earlier, unseen])
     return chain
 
@@ -150,10 +152,11 @@ class Model:
             len(texts), np.repeat(np.arange(len(texts)), [len(f) for f in found]),
             np.array([c for f in found for c in f], np.int64),
         )
-        earlier = np.zeros((len(texts), 0))
+        earlier, out = np.zeros((len(texts), 0)), []
         for model in self.chain:
-            earlier = np.column_stack([earlier, model.log_odds(rows.dot(model.words), earlier)])
-        return earlier
+            out.append(model.log_odds(rows.dot(model.words), earlier))
+            earlier = np.column_stack([earlier, out[-1] - model.intercept])
+        return np.column_stack(out)
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
