@@ -278,11 +278,11 @@ def chunk_table_rows(spark, sf):
 
 @query("""SELECT o_orderpriority || '.csv' AS filename, '| key | status |' || chr(10) || '|---|---|' || chr(10) ||
   string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey) AS text FROM (
-    SELECT o_orderpriority || '-' || (o_orderkey // 1000) AS o_orderpriority, o_orderkey, o_orderstatus FROM orders)
+    SELECT o_orderpriority, o_orderkey, o_orderstatus FROM orders)
 GROUP BY 1""")
 def chunk_table_whole(spark, sf):
     o = t.read(spark, sf, "orders")
-    name = F.concat("o_orderpriority", F.lit("-"), F.floor(C("o_orderkey") / 1000), F.lit(".csv"))
+    name = F.concat("o_orderpriority", F.lit(".csv"))
     rows = o.select(
         name.alias("filename"), F.lit("| key | status |\n|---|---|").alias("header"), C("o_orderkey").alias("row_no"),
         F.concat(F.lit("| "), "o_orderkey", F.lit(" | "), "o_orderstatus", F.lit(" |")).alias("row_text"),

@@ -93,8 +93,12 @@ def acl_from_filename(spark, sf):
 
 # the SQL twin uses \b where the Spark patterns spell out ASCII word edges
 _CARD = r"\b[0-9](?:[ -]?[0-9]){12,18}\b"
-_SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
-_PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|\b[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}\b"
+_SSN = r"\b[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}\b"
+_PHONE = (
+    r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|\b[0-9]{3}[. -])[0-9]{3}[. -][0-9]{4}\b"
+    r"|\+[0-9](?:[ .-]?[0-9]){7,14}\b|\b[0-9]{10}\b"
+)
+_EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}{2,}"
 
 
 def _redacted_sql(source: str) -> str:
@@ -109,7 +113,7 @@ def _redacted_sql(source: str) -> str:
           CASE WHEN {luhn} THEN '<CREDIT_CARD>' ELSE c END), '')), lambda p: p[1] || p[2]), '')"""
     return rf"""regexp_replace(regexp_replace(regexp_replace({cards},
       '{_SSN}', '<US_SSN>', 'g'), '{_PHONE}', '<PHONE_NUMBER>', 'g'),
-      '{pii.EMAIL}', '<EMAIL_ADDRESS>', 'g')""".replace("{source}", source)
+      '{_EMAIL}', '<EMAIL_ADDRESS>', 'g')""".replace("{source}", source)
 
 
 @query(f"SELECT doc_id, {_redacted_sql('documents')} AS redacted FROM documents")
@@ -118,22 +122,24 @@ def redact_pii(spark, sf):
 
 
 @query(r"""WITH RECURSIVE dictionary AS (
-  SELECT DISTINCT regexp_extract(text, '[0-9A-Za-z_]+', 0) AS name FROM benchmark
-  WHERE regexp_extract(text, '[0-9A-Za-z_]+', 0) <> ''),
+  SELECT DISTINCT regexp_extract(text, '[\p{L}\p{N}_]+ [\p{L}\p{N}_]+|[\p{L}\p{N}_]+', 0) AS name FROM benchmark
+  WHERE regexp_extract(text, '[\p{L}\p{N}_]+', 0) <> ''),
+firsts AS (SELECT name, string_split(name, ' ')[1] AS word FROM dictionary),
 found AS (
-  SELECT doc_id, list_sort(list(DISTINCT name)) AS names FROM dictionary JOIN (
-    SELECT doc_id, unnest(string_split_regex(text, '[^0-9A-Za-z_]+')) AS name FROM documents) USING (name)
+  SELECT doc_id, list(DISTINCT name ORDER BY length(name) DESC, name DESC) AS names FROM firsts JOIN (
+    SELECT doc_id, unnest(string_split_regex(text, '[^\p{L}\p{M}\p{N}_]+')) AS word FROM documents) USING (word)
   GROUP BY doc_id),
 hits AS (SELECT doc_id, coalesce(names, []) AS names, text FROM documents LEFT JOIN found USING (doc_id)),
 masked AS (
   SELECT doc_id, names, text, 0 AS done FROM hits
   UNION ALL
-  SELECT doc_id, names, regexp_replace(text, '\b' || names[done + 1] || '\b', '<PERSON>', 'g'), done + 1
+  SELECT doc_id, names, regexp_replace(regexp_replace(text, '(^|[^\p{L}\p{M}\p{N}_])' || names[done + 1] || '($|[^\p{L}\p{M}\p{N}_])', '\1<PERSON>\2', 'g'),
+    '(^|[^\p{L}\p{M}\p{N}_])' || names[done + 1] || '($|[^\p{L}\p{M}\p{N}_])', '\1<PERSON>\2', 'g'), done + 1
   FROM masked WHERE done < len(names))
 SELECT doc_id, text AS redacted FROM masked WHERE done = len(names)""")
 def redact_person_names(spark, sf):
     names = t.read(spark, sf, "benchmark").select(
-        F.regexp_extract("text", "[0-9A-Za-z_]+", 0).alias("name")
+        F.regexp_extract("text", r"[\p{L}\p{N}_]+ [\p{L}\p{N}_]+|[\p{L}\p{N}_]+", 0).alias("name")
     ).filter("name <> ''")
     docs = t.read(spark, sf, "documents").select("doc_id", "text")
     return ingest.redacted_names(docs, names, "doc_id").select("doc_id", C("text").alias("redacted"))

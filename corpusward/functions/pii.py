@@ -13,14 +13,21 @@ from corpusward.functions.text import regex_literal
 # ASCII word edges, spelled out so that accented letters count as non-word on every engine.
 _START = "(?<![0-9A-Za-z_])"
 _END = "(?![0-9A-Za-z_])"
+# Names may hold any letters.
+_LETTER = r"[\p{L}\p{M}\p{N}_]"
 
 CARD = _START + r"[0-9](?:[ -]?[0-9]){12,18}" + _END
-SSN = _START + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END
+SSN = _START + r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}" + _END
+# North American forms, then any international number, then ten digits in a row.
 PHONE = (
     r"(?:\+[0-9]{1,3}[ .-]?)?"
-    r"(?:\([0-9]{3}\) ?|" + _START + r"[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}" + _END
+    r"(?:\([0-9]{3}\) ?|" + _START + r"[0-9]{3}[. -])[0-9]{3}[. -][0-9]{4}" + _END
+    + r"|\+[0-9](?:[ .-]?[0-9]){7,14}" + _END
+    + "|" + _START + r"[0-9]{10}" + _END
 )
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,63}"
+# Only the start of a run is tried, so a long run without a sign is read once.
+_LOCAL = r"[\p{L}\p{N}._%+-]"
+EMAIL = rf"(?<!{_LOCAL}){_LOCAL}++@[\p{{L}}\p{{N}}.-]+\.\p{{L}}{{2,}}"
 
 
 def luhn_ok(number: Column) -> Column:
@@ -65,12 +72,12 @@ def redact(text: Column, extra: dict[str, str] | None = None) -> Column:
 
 
 def mask_names(text: Column, names: Column) -> Column:
-    """Replace each name of the array, as a whole word, by ``<PERSON>``, in one pass."""
+    """Replace each name of the array, as whole words, by ``<PERSON>``, in one pass."""
     any_name = F.array_join(F.transform(names, regex_literal), "|")
-    pattern = F.concat(F.lit(_START + "(?:"), any_name, F.lit(")" + _END))
+    pattern = F.concat(F.lit(rf"(?<!{_LETTER})(?:"), any_name, F.lit(rf")(?!{_LETTER})"))
     return F.when(F.size(names) > 0, F.regexp_replace(text, pattern, F.lit("<PERSON>"))).otherwise(text)
 
 
 def name_tokens(text: Column) -> Column:
-    """Distinct ASCII words of a text, the unit names are looked up by."""
-    return F.array_distinct(F.filter(F.split(text, "[^0-9A-Za-z_]+"), lambda w: w != ""))
+    """Distinct words of a text, the unit names are looked up by."""
+    return F.array_distinct(F.filter(F.split(text, rf"[^\p{{L}}\p{{M}}\p{{N}}_]+"), lambda w: w != ""))

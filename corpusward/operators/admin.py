@@ -48,8 +48,13 @@ def display_user(user_id: Column) -> Column:
 
 
 def page(rows: DataFrame, order: str, tie: str, skip: int, limit: int, cap: int) -> DataFrame:
-    """Newest first; only ``skip + limit`` rows per task leave the scan."""
-    return rows.orderBy(F.desc(order), F.desc(tie)).offset(skip).limit(min(limit, cap))
+    """Newest first; only ``skip + limit`` rows per task leave the scan.
+
+    A page of more than ``cap`` rows is refused, not cut.
+    """
+    if not 1 <= limit <= cap or skip < 0:
+        raise ValueError(f"limit must be 1 to {cap} and skip 0 or more; got {limit} and {skip}")
+    return rows.orderBy(F.desc(order), F.desc(tie)).offset(skip).limit(limit)
 
 
 def audit_page(logs: DataFrame, skip: int = 0, limit: int = 50, tie: str = "id") -> DataFrame:

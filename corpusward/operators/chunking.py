@@ -72,16 +72,20 @@ def table_chunks(
     )
 
 
-def whole_table_chunks(rows: DataFrame, bucket: Column, rows_per_part: int = 10000) -> DataFrame:
-    """A table (``filename, header, row_no, row_text``) as one Markdown chunk.
+def whole_table_chunks(
+    rows: DataFrame, bucket: Column, rows_per_part: int | None = None
+) -> DataFrame:
+    """A table (``filename, header, row_no, row_text``) as one Markdown chunk, ``part`` 0.
 
-    Tables longer than ``rows_per_part`` go on in further parts with the header repeated, so one
-    huge table never meets in a single row; ordinary tables are a single part 0.
+    With ``rows_per_part`` longer tables go on in further parts, the header repeated.
     """
-    placed = with_running(
-        rows, ["filename"], ["row_no"], bucket,
-        exclusive={"__nth": ("sum", F.lit(1))},
-    ).withColumn("part", F.floor(F.col("__nth") / rows_per_part).cast("int"))
+    if rows_per_part is None:
+        placed = rows.withColumn("part", F.lit(0))
+    else:
+        placed = with_running(
+            rows, ["filename"], ["row_no"], bucket,
+            exclusive={"__nth": ("sum", F.lit(1))},
+        ).withColumn("part", F.floor(F.col("__nth") / rows_per_part).cast("int"))
     lines = F.transform(
         F.array_sort(F.collect_list(F.struct("row_no", "row_text"))), lambda r: r["row_text"]
     )
@@ -124,20 +128,20 @@ def sessionize(
 
 def thread_chunks(
     threads: DataFrame, channel: str = "channel", user: str = "user", body: str = "text",
-    per_part: int = 10000,
+    per_part: int | None = None,
 ) -> DataFrame:
-    """Join each thread's ``User u: text`` lines in order.
+    """Join each thread's ``User u: text`` lines in order, as ``part`` 0.
 
-    A thread beyond ``per_part`` messages continues in further parts; ordinary threads are one
-    part 0.
+    With ``per_part`` longer threads go on in further parts, which belong to a chunk's key.
     """
+    part = F.lit(0) if per_part is None else F.floor(F.col("nth") / per_part).cast("int")
     line = F.concat(F.lit("User "), F.col(user), F.lit(": "), F.col(body))
     lines = F.transform(
         F.array_sort(F.collect_list(F.struct(F.col("nth"), line.alias("line")))),
         lambda m: m["line"],
     )
     return (
-        threads.withColumn("part", F.floor(F.col("nth") / per_part).cast("int"))
+        threads.withColumn("part", part)
         .groupBy(channel, F.col("thread_no").alias("chunk_index"), "part")
         .agg(F.array_join(lines, "\n").alias("text"), F.count("*").alias("n_messages"))
         .withColumn("allowed_groups", access.strings(access.PUBLIC))

@@ -41,7 +41,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
 def _ragged(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +151,8 @@ class _Best:
 def _score(
     batches: Iterator[pa.RecordBatch], block: Questions, legs: tuple[str, ...], k: int
 ) -> Iterator[pa.RecordBatch]:
+    if not len(block.ids):
+        return
     best = {leg: _Best(len(block.ids), k) for leg in legs}
     step = max(1, 2_000_000 // max(1, len(block.ids)))
     for whole in batches:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusward.functions import access, guard, text
 from corpusward.operators import admin, cache, reports, search
+from corpusward.session import cut
 
 
 def accepted(questions: DataFrame, principals: DataFrame) -> DataFrame:
@@ -46,17 +47,19 @@ def finished(gated: DataFrame, generated: DataFrame) -> DataFrame:
 def answer(
     questions: DataFrame, principals: DataFrame, cached: DataFrame, index: DataFrame,
     chunks: DataFrame, encoded: DataFrame, generated: DataFrame, limit: int = 5,
-    cache_mode: str = "all_chunks",
+    cache_mode: str = "all_chunks", cache_encoded: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The flow end to end.
 
-    ``questions``: ``query_id, username, query, ts``; ``encoded``: their vectors; ``cached``: live
-    cache entries; ``generated``: model answers. Returns ``hits``, ``retrieved``, ``answers`` and
-    the ``audit`` rows.
+    ``questions``: ``query_id, username, query, ts``; ``encoded``: vectors of the expanded
+    questions, for the search; ``cache_encoded``: those of the plain ones, for the cache, if they
+    differ; ``cached``: live cache entries; ``generated``: model answers. Returns ``hits``,
+    ``retrieved``, ``answers``, the ``entries`` to write to the cache, and the ``audit`` rows.
     """
     asked = accepted(questions, principals)
-    vectors = asked.select("query_id", "groups").join(encoded, "query_id")
-    hits = cache.lookup(vectors, cached, mode=cache_mode)
+    plain = encoded if cache_encoded is None else cache_encoded
+    vectors = asked.select("query_id", "groups").join(plain, "query_id")
+    hits = cut(cache.lookup(vectors, cached, mode=cache_mode))
     missed = cache.misses(asked, hits)
     retrieved = search.search(
         index, chunks, missed, encoded.join(missed.select("query_id"), "query_id", "left_semi"), limit
@@ -75,5 +78,6 @@ def answer(
         "hits": hits,
         "retrieved": retrieved,
         "answers": answers,
+        "entries": cache.new_entries(answers).join(plain, "query_id"),
         "audit": admin.audit_rows(served, principals, lineage),
     }

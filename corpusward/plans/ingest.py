@@ -33,8 +33,12 @@ def from_messages(messages: DataFrame, gap_seconds: int = 600) -> DataFrame:
 
 
 def from_tables(rows: DataFrame, bucket: Column, budget: int = 500) -> DataFrame:
-    """``rows(filename, row_no, row_text)``: packed rows under the table's name."""
-    chunks = chunking.table_chunks(rows, bucket, budget)
+    """``rows(filename, row_no, row_text)``: packed rows under the table's name.
+
+    A column ``header`` is repeated on top of every chunk.
+    """
+    header = "header" if "header" in rows.columns else None
+    chunks = chunking.table_chunks(rows, bucket, budget, header)
     body = text.table_header(pii.redact(F.col("text")), F.col("filename"), F.col("chunk_index"))
     return _shaped(chunks.withColumn("text", body), "excel")
 
@@ -74,22 +78,24 @@ def new_chunks(arrived: DataFrame, active: DataFrame | None = None) -> DataFrame
     return dedup.keep_first(arrived)
 
 
-def redacted_names(docs: DataFrame, names: DataFrame, key: str, body: str = "text",
-                   bound: int = 10_000) -> DataFrame:
-    """Mask the dictionary's names (column ``name``) in ``body``.
+def redacted_names(docs: DataFrame, names: DataFrame, key: str, body: str = "text") -> DataFrame:
+    """Mask the dictionary's names (column ``name``), of one word or more, in ``body``.
 
-    A dictionary of checked size becomes one array next to every text; no shuffle. A larger one
-    is joined on the words of the texts, and only texts with a hit are joined back.
+    Names are joined by their first word on the words of the texts, and only texts with a hit are
+    joined back; there the whole name is looked for, longer names first.
     """
-    some = names.select("name").distinct().limit(bound + 1).toPandas()["name"]
-    if len(some) <= bound:
-        listed = F.array(*[F.lit(n) for n in sorted(some)]).cast("array<string>")
-        hits = F.array_sort(F.array_intersect(pii.name_tokens(F.col(body)), listed))
-        return docs.withColumn(body, pii.mask_names(F.col(body), hits))
+    listed = names.select("name").distinct().withColumn(
+        "__word", F.element_at(pii.name_tokens(F.col("name")), 1)
+    ).filter(F.size(pii.name_tokens(F.col("name"))) > 0)
     found = (
-        docs.select(key, F.explode(pii.name_tokens(F.col(body))).alias("name"))
-        .join(names.select("name").distinct(), "name", "left_semi")
-        .groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("__names"))
+        docs.select(key, F.explode(pii.name_tokens(F.col(body))).alias("__word"))
+        .join(listed, "__word")
+        .groupBy(key).agg(
+            F.transform(
+                F.sort_array(F.collect_set(F.struct(F.length("name"), "name")), asc=False),
+                lambda n: n["name"],
+            ).alias("__names")
+        )
     )
     masked = pii.mask_names(F.col(body), F.coalesce("__names", access.strings()))
     return docs.join(found, key, "left").withColumn(body, masked).drop("__names")

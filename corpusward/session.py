@@ -70,18 +70,21 @@ def release(*tables: DataFrame | None) -> None:
     for table in tables:
         path = getattr(table, "scratch", None)
         if path:
-            jvm = table.sparkSession._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            conf = table.sparkSession.sparkContext._jsc.hadoopConfiguration()
-            place.getFileSystem(conf).delete(place, True)
+            remove(table.sparkSession, path)
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
-    return df.limit(rows + 1).count() <= rows
+def qualified(spark: SparkSession, path: str):
+    """The file system of ``path``, and the path as that file system spells it out."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system, system.makeQualified(place)
+
 
+def remove(spark: SparkSession, path: str) -> None:
+    system, place = qualified(spark, path)
+    system.delete(place, True)
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input of fewer splits than cores over all of them; larger inputs stay as read."""
-    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+def fits(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows, counted in place."""
+    return df.count() <= rows

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward import schemas
 from corpusward.functions import access
+from corpusward.session import qualified
 
 # ASCII record separator: lets many whole documents share one splittable file.
 RECORD = "\u001e"
@@ -19,9 +19,20 @@ def wanted(path: Column) -> Column:
 
 
 def folder_source(path: Column) -> Column:
-    """Source type by the first known folder below the root; null if there is none."""
+    """Source type by the folder directly below the root, for a path that starts there; or null."""
     names = "|".join(access.FOLDER_SOURCES)
-    return access.lookup(F.regexp_extract(path, rf"/({names})/", 1), access.FOLDER_SOURCES)
+    return access.lookup(F.regexp_extract(path, rf"\A/({names})/", 1), access.FOLDER_SOURCES)
+
+
+def below(spark: SparkSession, root: str, path: Column) -> Column:
+    """What follows the root folder in ``path``, which may be URL-encoded."""
+    place = qualified(spark, root)[1]
+    out = F.lit(None).cast("string")
+    for start in {place.toString(), place.toUri().toString()}:
+        for form in {start, start.replace("file:///", "file:/"), start.replace("file:/", "file:///", 1)}:
+            rest = F.substring(path, F.lit(len(form) + 1), F.length(path))
+            out = F.coalesce(out, F.when(path.startswith(form + "/"), rest))
+    return out
 
 
 def corpus_files(spark: SparkSession, root: str) -> DataFrame:
@@ -35,11 +46,10 @@ def corpus_files(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
         .select("path", "length", F.col("modificationTime").alias("modified"))
     )
-    below = F.regexp_replace(F.col("path"), r"\A.*" + base.split("/")[-1] + "/", "/")
     return (
         files.filter(wanted(F.col("path")))
         .withColumn("filename", access.basename(F.col("path")))
-        .withColumn("source_type", folder_source(below))
+        .withColumn("source_type", folder_source(below(spark, base, F.col("path"))))
         .filter(F.col("source_type").isNotNull())
     )
 
@@ -51,11 +61,10 @@ def corpus_lines(spark: SparkSession, root: str) -> DataFrame:
         spark.read.option("recursiveFileLookup", True).text(base)
         .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
     )
-    below = F.regexp_replace(F.col("path"), r"\A.*" + base.split("/")[-1] + "/", "/")
     return (
         lines.filter(wanted(F.col("path")))
         .select(
-            folder_source(below).alias("source_type"),
+            folder_source(below(spark, base, F.col("path"))).alias("source_type"),
             access.basename(F.col("path")).alias("filename"), "line",
         )
         .filter(F.col("source_type").isNotNull())
@@ -88,23 +97,29 @@ def read_markdown(spark: SparkSession, path: str | list[str], bundled: bool = Fa
 def read_messages(
     spark: SparkSession, path: str | list[str], one_array_per_line: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """``(messages, rejected)`` from JSON arrays of messages.
+    """``(messages, rejected)`` from JSON arrays of messages, with ``filename``, ``path`` and ``pos``.
 
     A file holds one array, or with ``one_array_per_line`` an array per line, which splits over
-    tasks. Missing fields become ``Unknown``, an empty text and time 0; a file that is not an
-    array yields nothing. A message whose time is null or not a number is rejected, not the file.
+    tasks. Missing fields become ``Unknown``, an empty text and time 0; JSON that is not an array
+    yields nothing. Text that is not JSON is rejected as a whole (``pos`` null, the text kept); of
+    an array only messages whose time is null or not a number are.
     """
-    raw = (
-        spark.read.schema(f"{schemas.MESSAGES}, __corrupt STRING")
-        .option("multiLine", not one_array_per_line)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "__corrupt")
-        .json(path)
-        .withColumn("path", F.col("_metadata.file_path"))
-        .filter(F.col("__corrupt").isNull())
-        .drop("__corrupt")
+    files = spark.read.text(path, wholetext=not one_array_per_line).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename"),
+        "value",
     )
-    return parse_messages(raw)
+    # maps tell a missing field from a null one
+    listed = F.from_json("value", "ARRAY<MAP<STRING, STRING>>")
+    array = F.btrim("value", F.lit(" \t\r\n")).startswith("[")
+    raw = files.filter(array).select("path", "filename", F.posexplode(listed).alias("pos", "m"))
+    field = lambda name: F.try_element_at("m", F.lit(name)).alias(name)
+    time = F.when(F.map_contains_key("m", F.lit("ts")), field("ts")).otherwise(F.lit("0")).alias("ts")
+    good, bad = parse_messages(raw.select("path", "filename", "pos", field("user"), field("text"), time))
+    broken = files.filter(
+        (F.btrim("value", F.lit(" \t\r\n")) != "")
+        & F.when(array, listed.isNull()).otherwise(F.get_json_object("value", "$").isNull())
+    ).select("path", "filename", F.col("value").alias("text"))
+    return good, bad.unionByName(broken, allowMissingColumns=True)
 
 
 def parse_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,8 +127,7 @@ def parse_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     filled = raw.withColumn("user", F.coalesce("user", F.lit("Unknown"))).withColumn(
         "text", F.coalesce("text", F.lit(""))
     )
-    seconds = F.coalesce(F.col("ts"), F.lit("0")).try_cast("decimal(20,6)")
-    parsed = filled.withColumn("__seconds", seconds)
+    parsed = filled.withColumn("__seconds", F.col("ts").try_cast("decimal(20,6)"))
     micros = (F.col("__seconds") * 1000000).cast("bigint")
     good = parsed.filter(F.col("__seconds").isNotNull()).withColumn("ts", F.timestamp_micros(micros))
     bad = parsed.filter(F.col("__seconds").isNull())

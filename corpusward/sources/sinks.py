@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusward.session import cut
+from corpusward.session import cut, release, remove
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -24,20 +24,31 @@ def write_chunk_index(
 ) -> None:
     """Upsert into a table partitioned by ``partition_by``.
 
-    Only partitions that receive rows are rewritten. The new contents are checkpointed before the
-    write, so no file is read while it is being replaced and a lost task can be run again.
+    Only partitions that receive rows, or held one of them before, are rewritten; one that is left
+    without rows goes. Of incoming rows with equal keys one is written. The new contents are
+    checkpointed before the write, so no file is read while it is being replaced and a lost task
+    can be run again.
     """
+    incoming = incoming.dropDuplicates(key)
     if not exists:
         incoming.write.mode("overwrite").partitionBy(partition_by).parquet(path)
         return
     incoming = cut(incoming)
-    touched = incoming.select(partition_by).distinct()
-    existing = spark.read.parquet(path).join(touched, partition_by, "left_semi")
+    held = spark.read.parquet(path)
+    left = held.select(partition_by, *key).join(incoming.select(*key), key, "left_semi")
+    touched = cut(
+        incoming.select(partition_by).unionByName(left.select(partition_by)).distinct()
+    )
+    existing = held.join(touched, partition_by, "left_semi")
     merged = cut(upserted(existing, incoming, key))
+    emptied = touched.join(merged.select(partition_by).distinct(), partition_by, "left_anti").collect()
     (
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition_by).parquet(path)
     )
+    for row in emptied:
+        remove(spark, f"{path}/{partition_by}={row[0]}")
+    release(incoming, touched, merged)
 
 
 def write_snapshot(df: DataFrame, root: str, snapshot: str) -> str:

@@ -121,3 +121,19 @@ def test_citations(one):
     assert one(guard.strip_invalid(answer, files)) == "Yes [Source: valid.pdf] no . [Source: valid.pdf]"
     assert not one(guard.needs_review(answer, files))
     assert one(guard.needs_review(answer, access.strings()))
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("+44 20 7946 0958", "<PHONE_NUMBER>"), ("5551234567", "<PHONE_NUMBER>"), ("123 45 6789", "<US_SSN>"),
+    ("josé@x.org", "<EMAIL_ADDRESS>"), ("a" * 80 + "@x.org", "<EMAIL_ADDRESS>"), ("555-123-4567", "<PHONE_NUMBER>"),
+    ("order 12345678", "order 12345678"), ("2024 10 2024", "2024 10 2024"),
+])
+def test_more_personal_data(one, text, want):
+    assert one(pii.redact(F.lit(text))) == want
+
+
+def test_page_limit_is_refused(spark):
+    from corpusward.operators import admin
+
+    with pytest.raises(ValueError):
+        admin.page(spark.range(3), "id", "id", 0, 900, 500)
