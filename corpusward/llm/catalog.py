@@ -109,7 +109,8 @@ def op10_mix_sources(spark, sf):
 
 @query()
 def op4_sentencepiece(spark, sf):
-    return pieces.round_trip(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.round_trip(table(spark, sf, "documents"), model, remembered=200_000)
 
 
 @query()

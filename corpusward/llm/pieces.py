@@ -141,9 +141,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(model: bytes) -> Encoder:
-    """One encoder per worker process and model."""
-    return Encoder(model)
+def encoder(model: bytes, remembered: int = REMEMBERED) -> Encoder:
+    """One encoder per worker process, model and size of its memory."""
+    return Encoder(model, remembered)
 
 
 def _read(path: str) -> bytes:
@@ -186,18 +186,20 @@ def _keyed(docs: DataFrame, key: str, body: str) -> tuple[str, DataFrame]:
 
 
 def round_trip(
-    docs: DataFrame, path: str, key: str = "doc_id", body: str = "text", with_ids: bool = False
+    docs: DataFrame, path: str, key: str = "doc_id", body: str = "text", with_ids: bool = False,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """``(key, n_tokens, ids_sha256, decoded_sha256)``: encoded, decoded, and both digested.
 
     Digests are lower-case hex: of the ids in decimal joined by commas, and of the decoded text.
-    ``with_ids`` adds the ids themselves.
+    ``with_ids`` adds the ids themselves. ``remembered`` trades memory for time, never results: a
+    job whose workers do nothing else can afford more than the last stage of a long one.
     """
     model = _read(path)
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model)
+        own = encoder(model, remembered)
         for batch in sliced(batches):
             counts, of_ids, of_text, kept = [], [], [], []
             for text in batch.column(1):
