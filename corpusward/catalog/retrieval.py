@@ -155,6 +155,15 @@ def dense_topk_ann(spark, sf):
     return ann.dense_topk_ann(_vectors(spark, sf), _centroids(spark, sf), 20)
 
 
+@query("SELECT 20 * count(DISTINCT label) AS n_exact, true AS recall_reached FROM embeddings")
+def dense_topk_ann_recall(spark, sf):
+    """Whether the approximate search finds at least 0.9 of the exact results."""
+    asked = cut(_centroids(spark, sf))
+    found = ann.dense_topk_ann(_vectors(spark, sf), asked, 20)
+    exact = search.dense_topk(_vectors(spark, sf), asked, 20)
+    return ann.recall(found, exact).select("n_exact", (C("recall") >= 0.9).alias("recall_reached"))
+
+
 @query(f"WITH {_WEIGHTS}, {_ASKED}, {_SPARSE} SELECT query_id, chunk_key, score, rank FROM sparse")
 def sparse_topk(spark, sf):
     return _legs(spark, sf, ("sparse",)).drop("leg").withColumn("rank", C("rank").cast("bigint"))
@@ -232,6 +241,14 @@ def retrieval_eval(spark, sf):
     return reports.retrieval_quality(_searched(spark, sf), _gold(spark, sf), 5)
 
 
+@query(f"""WITH {_QUALITY} SELECT count(*) AS n_questions, round(avg(recall), 9) AS context_recall,
+  round(avg(precision), 9) AS context_precision, round(avg(reciprocal_rank), 9) AS mrr FROM quality""")
+def retrieval_eval_overall(spark, sf):
+    per = reports.retrieval_quality(_searched(spark, sf), _gold(spark, sf), 5)
+    rounded = [F.round(c, 9).alias(c) for c in ("context_recall", "context_precision", "mrr")]
+    return reports.overall_quality(per).select("n_questions", *rounded)
+
+
 # --- duplicates --------------------------------------------------------------------------------
 
 _SETS = f"""sets AS MATERIALIZED (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusward.functions import guard
@@ -63,6 +64,7 @@ def retrieval_quality(retrieved: DataFrame, gold: DataFrame, k: int) -> DataFram
 
 
 def overall_quality(per_question: DataFrame) -> DataFrame:
+    """Means over all questions with gold chunks."""
     return per_question.agg(
         F.count("*").alias("n_questions"),
         F.avg("recall").alias("context_recall"),
@@ -105,29 +107,48 @@ def ingest_summary(chunks: DataFrame, kept: Column) -> DataFrame:
     )
 
 
-def ops_rollup(requests: DataFrame, every: str = "1 hour") -> DataFrame:
-    """Per time window: p95 latency, cache hit rate, failure rate, tokens, threshold flags.
+def _exact_p95(requests: DataFrame, every: str, share: float = 0.95) -> DataFrame:
+    """``(w, p95_ms)``: the smallest latency that ``share`` of a window's requests do not exceed.
 
-    ``requests``: ``ts, latency_ms, cached, failed, tokens``. The percentile is a mergeable sketch,
-    so a busy window does not collect its rows.
+    Works on counts per distinct latency, which are pre-aggregated, never on a window's rows.
     """
-    # 1 / accuracy is the rank error; the sketch is exact up to that many rows per window
-    p95 = F.percentile_approx("latency_ms", 0.95, 100000)
+    counted = requests.filter(F.col("latency_ms").isNotNull()).groupBy(
+        F.window("ts", every).alias("w"), "latency_ms"
+    ).agg(F.count("*").alias("__n"))
+    window = W.partitionBy("w")
+    upto = F.sum("__n").over(window.orderBy("latency_ms"))
+    reached = counted.withColumn("__upto", upto).withColumn("__all", F.sum("__n").over(window))
     return (
-        requests.groupBy(F.window("ts", every).alias("w")).agg(
-            F.count("*").alias("n_requests"),
-            p95.alias("p95_ms"),
-            F.avg(F.col("cached").cast("double")).alias("cache_hit_rate"),
-            F.avg(F.col("failed").cast("double")).alias("failure_rate"),
-            F.sum("tokens").alias("tokens"),
-        )
-        .select(
-            F.col("w.start").alias("window_start"), "n_requests", "p95_ms", "cache_hit_rate",
-            "failure_rate", "tokens",
-            (F.col("p95_ms") > P95_LIMIT_MS).alias("slow"),
-            (F.col("cache_hit_rate") < CACHE_HIT_FLOOR).alias("cold_cache"),
-            (F.col("failure_rate") > FAILURE_CEILING).alias("failing"),
-        )
+        reached.filter(F.col("__upto") >= F.ceil(F.col("__all") * F.lit(share).cast("decimal(3,2)")))
+        .groupBy("w").agg(F.min("latency_ms").alias("p95_ms"))
+    )
+
+
+def ops_rollup(
+    requests: DataFrame, every: str = "1 hour", accuracy: int | None = None,
+) -> DataFrame:
+    """Per time window: p95 latency, cache hit rate, failure rate, tokens, cost, threshold flags.
+
+    ``requests``: ``ts, latency_ms, cached, failed, tokens`` and, if known, ``cost``. The percentile
+    is exact; ``accuracy`` (rank error ``1 / accuracy``) replaces it by a mergeable sketch.
+    """
+    window = F.window("ts", every).alias("w")
+    sketch = [F.percentile_approx("latency_ms", 0.95, accuracy).alias("p95_ms")] if accuracy else []
+    cost = [F.sum("cost").alias("cost")] if "cost" in requests.columns else []
+    rolled = requests.groupBy(window).agg(
+        F.count("*").alias("n_requests"), *sketch,
+        F.avg(F.col("cached").cast("double")).alias("cache_hit_rate"),
+        F.avg(F.col("failed").cast("double")).alias("failure_rate"),
+        F.sum("tokens").alias("tokens"), *cost,
+    )
+    if not accuracy:
+        rolled = rolled.join(_exact_p95(requests, every), "w", "left")
+    return rolled.select(
+        F.col("w.start").alias("window_start"), "n_requests", "p95_ms", "cache_hit_rate",
+        "failure_rate", "tokens", *(["cost"] if cost else []),
+        (F.col("p95_ms") > P95_LIMIT_MS).alias("slow"),
+        (F.col("cache_hit_rate") < CACHE_HIT_FLOOR).alias("cold_cache"),
+        (F.col("failure_rate") > FAILURE_CEILING).alias("failing"),
     )
 
 

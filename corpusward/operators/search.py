@@ -3,7 +3,8 @@
 The index is cut by chunk, never by token or group: each task scores its chunks against a block of
 questions and keeps the best ``k`` per question, so only winners are shuffled, whatever a token's
 or a group's frequency. A question block of checked size is broadcast and the index is read once,
-in place. Beyond that bound questions and index are both cut into blocks that meet by equi-join.
+in place. Beyond that bound, in rows or in list elements, questions and index are both cut into
+blocks that meet by equi-join.
 """
 
 from __future__ import annotations
@@ -20,10 +21,14 @@ from pyspark.sql import functions as F
 
 from corpusward.functions.access import PUBLIC
 from corpusward.functions.text import let, word_set
+from corpusward.operators.versions import active
 from corpusward.session import fits
 
 QUESTION_BOUND = 4096
 CELL_ROWS = 50_000
+# List elements (numbers and group names) of a broadcast question block, and of an index cell.
+QUESTION_ELEMENTS = 4_000_000
+CELL_ELEMENTS = 16_000_000
 SCORE_DIGITS = 9
 LEG_SCHEMA = "leg STRING, query_id BIGINT, chunk_key BIGINT, score DOUBLE"
 _ARROW = pa.schema(
@@ -37,13 +42,19 @@ def pool_size(limit: int) -> int:
     return max(20, 2 * limit)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; zero rows stay zero."""
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+
+
 def _ragged(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row number of every list element, and the elements."""
     if isinstance(column, pa.ChunkedArray):
@@ -52,13 +63,21 @@ def _ragged(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(np.arange(len(column)), lengths), column.flatten()
 
 
+def _holders(starts: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every row with each entry of its list: list ``at[i]`` spans ``starts[at[i]]`` to the next."""
+    counts = starts[at + 1] - starts[at]
+    shift = np.repeat(starts[at] - (np.cumsum(counts) - counts), counts)
+    return np.repeat(row, counts), np.arange(counts.sum()) + shift
+
+
 @dataclass
 class Questions:
     """A block of questions as arrays: what every task needs for scoring."""
 
     ids: np.ndarray
     groups: list[str] | None = None
-    member: np.ndarray | None = None
+    group_starts: np.ndarray | None = None
+    group_owners: np.ndarray | None = None
     dense: np.ndarray | None = None
     vocab: np.ndarray | None = None
     starts: np.ndarray | None = None
@@ -71,15 +90,14 @@ class Questions:
         count = len(block.ids)
         if "groups" in table.column_names:
             row, names = _ragged(table["groups"])
-            block.groups = sorted({PUBLIC, *names.to_pylist()} - {None})
-            place = {name: i for i, name in enumerate(block.groups)}
-            block.member = np.zeros((len(block.groups), count), np.float32)
-            block.member[place[PUBLIC], :] = 1
-            block.member[[place[n] for n in names.to_pylist()], row] = 1
+            listed = names.dictionary_encode()
+            block.groups = listed.dictionary
+            place = pc.fill_null(listed.indices, -1).to_numpy(zero_copy_only=False)
+            order = np.argsort(place, kind="stable")[np.count_nonzero(place < 0) :]
+            block.group_owners = row[order]
+            block.group_starts = np.searchsorted(place[order], np.arange(len(block.groups) + 1))
         if "dense" in legs:
-            dense = _matrix(table["dense"])
-            norm = np.linalg.norm(dense, axis=1, keepdims=True)
-            block.dense = np.divide(dense, norm, out=np.zeros_like(dense), where=norm > 0)
+            block.dense = unit_rows(matrix(table["dense"]))
         if "sparse" in legs:
             row, token = _ragged(table["tokens"])
             weight = _ragged(table["weights"])[1].to_numpy(zero_copy_only=False)
@@ -91,17 +109,19 @@ class Questions:
         return block
 
     def visible(self, allowed: pa.Array) -> np.ndarray:
+        """Chunk by question: open to all, or a group in common."""
         row, names = _ragged(allowed)
-        place = pc.index_in(names, pa.array(self.groups, pa.string()))
-        place = pc.fill_null(place, -1).to_numpy(zero_copy_only=False)
-        held = np.zeros((len(allowed), len(self.groups)), np.float32)
-        held[row[place >= 0], place[place >= 0]] = 1
-        return held @ self.member > 0
+        seen = np.zeros((len(allowed), len(self.ids)), bool)
+        public = pc.fill_null(pc.equal(names, PUBLIC), False).to_numpy(zero_copy_only=False)
+        seen[row[public]] = True
+        place = pc.fill_null(pc.index_in(names, self.groups), -1).to_numpy(zero_copy_only=False)
+        held = (place >= 0) & ~public
+        row, entry = _holders(self.group_starts, place[held], row[held])
+        seen[row, self.group_owners[entry]] = True
+        return seen
 
     def dense_scores(self, batch: pa.RecordBatch) -> np.ndarray:
-        rows = _matrix(batch["dense"])
-        norm = np.linalg.norm(rows, axis=1, keepdims=True)
-        return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0) @ self.dense.T
+        return unit_rows(matrix(batch["dense"])) @ self.dense.T
 
     def sparse_scores(self, batch: pa.RecordBatch) -> np.ndarray:
         """Dot products; -inf where no token is shared."""
@@ -114,9 +134,8 @@ class Questions:
         hit = self.vocab[at] == token if len(self.vocab) else np.zeros(len(token), bool)
         row, at, weight = row[hit], at[hit], weight[hit]
         holders = self.starts[at + 1] - self.starts[at]
-        shift = np.repeat(self.starts[at] - (np.cumsum(holders) - holders), holders)
-        entry = np.arange(holders.sum()) + shift
-        cell = np.repeat(row, holders) * count + self.owners[entry]
+        row, entry = _holders(self.starts, at, row)
+        cell = row * count + self.owners[entry]
         value = np.repeat(weight, holders) * self.weights[entry]
         size = batch.num_rows * count
         total = np.bincount(cell, value, size)
@@ -159,7 +178,7 @@ def _score(
         for at in range(0, whole.num_rows, step):
             batch = whole.slice(at, step)
             keys = batch["chunk_key"].to_numpy()
-            hidden = ~block.visible(batch["allowed_groups"]) if block.groups else None
+            hidden = ~block.visible(batch["allowed_groups"]) if block.groups is not None else None
             for leg in legs:
                 raw = block.dense_scores(batch) if leg == "dense" else block.sparse_scores(batch)
                 scores = np.round(raw, SCORE_DIGITS)
@@ -188,19 +207,10 @@ def _by_broadcast(index: DataFrame, questions: pa.Table, legs: tuple[str, ...],
     return index.mapInArrow(lambda it: _score(it, block.value, legs, k), LEG_SCHEMA)
 
 
-def _by_grid(
-    index: DataFrame, questions: DataFrame, legs: tuple[str, ...], k: int, bound: int, rows: int
-):
-    q_blocks = max(1, -(-questions.count() // bound))
-    cells = max(1, -(-index.count() // rows))
-    left = index.withColumn("__c", F.pmod(F.xxhash64("chunk_key"), F.lit(cells))).withColumn(
-        "__q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>"))
-    )
-    right = questions.withColumn(
-        "__q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))
-    ).withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>")))
+def meet(legs: tuple[str, ...], k: int):
+    """Scores the chunks of a group against its questions; both are bounded by the caller."""
 
-    def meet(chunks: pa.Table, asked: pa.Table) -> pa.Table:
+    def both(chunks: pa.Table, asked: pa.Table) -> pa.Table:
         if not chunks.num_rows or not asked.num_rows:
             return _ARROW.empty_table()
         block = Questions.of(asked, legs)
@@ -208,8 +218,28 @@ def _by_grid(
             list(_score(iter(chunks.combine_chunks().to_batches()), block, legs, k)), _ARROW
         )
 
+    return both
+
+
+def _extent(rows: DataFrame, columns: list[str]) -> tuple[int, int]:
+    """Rows, and elements of all their lists, counted in place."""
+    sizes = [F.coalesce(F.size(c), F.lit(0)) for c in columns[1:]]
+    total = F.sum(sum(sizes, F.lit(0)).cast("bigint"))
+    return tuple(rows.agg(F.count("*"), F.coalesce(total, F.lit(0))).first())
+
+
+def _by_grid(
+    index: DataFrame, questions: DataFrame, legs: tuple[str, ...], k: int, q_blocks: int, cells: int
+):
+    left = index.withColumn("__c", F.pmod(F.xxhash64("chunk_key"), F.lit(cells))).withColumn(
+        "__q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>"))
+    )
+    right = questions.withColumn(
+        "__q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))
+    ).withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>")))
     return (
-        left.groupBy("__c", "__q").cogroup(right.groupBy("__c", "__q")).applyInArrow(meet, LEG_SCHEMA)
+        left.groupBy("__c", "__q").cogroup(right.groupBy("__c", "__q"))
+        .applyInArrow(meet(legs, k), LEG_SCHEMA)
     )
 
 
@@ -226,11 +256,14 @@ def legs_topk(
     """
     index_columns, question_columns = _columns(legs, index, questions)
     index, questions = index.select(*index_columns), questions.select(*question_columns)
-    block = questions.limit(question_bound + 1).toArrow()
-    if block.num_rows <= question_bound:
-        scored = _by_broadcast(index, block, legs, k)
+    count, elements = _extent(questions, question_columns)
+    q_blocks = max(1, -(-count // question_bound), -(-elements // QUESTION_ELEMENTS))
+    if q_blocks == 1:
+        scored = _by_broadcast(index, questions.toArrow(), legs, k)
     else:
-        scored = _by_grid(index, questions, legs, k, question_bound, cell_rows)
+        count, elements = _extent(index, index_columns)
+        cells = max(1, -(-count // cell_rows), -(-elements // CELL_ELEMENTS))
+        scored = _by_grid(index, questions, legs, k, q_blocks, cells)
     by_score = W.partitionBy("leg", "query_id").orderBy(F.desc("score"), "chunk_key")
     return scored.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
 
@@ -296,13 +329,20 @@ def rerank(pool: DataFrame, limit: int, scorer=overlap_score) -> DataFrame:
 
 def search(
     index: DataFrame, chunks: DataFrame, questions: DataFrame, encoded: DataFrame,
-    limit: int = 5, reranked: bool = True, scorer=overlap_score,
+    limit: int = 5, reranked: bool = True, scorer=overlap_score, active_only: bool = True,
 ) -> DataFrame:
     """The whole search: both legs, fusion, rerank. One row per question and rank.
 
+    Where ``index`` or ``chunks`` have ``is_active``, chunks of replaced versions take no part
+    unless ``active_only`` is off.
+
     ``questions``: ``query_id, query, groups``; ``encoded``: ``query_id, tokens, weights, dense``
     of the expanded question text; ``chunks``: ``chunk_key`` and what answers need from a chunk.
     """
+    if active_only and "is_active" in index.columns:
+        index = active(index)
+    elif active_only and "is_active" in chunks.columns:
+        index = index.join(active(chunks).select("chunk_key"), "chunk_key", "left_semi")
     pool = pool_size(limit)
     asked = encoded.join(questions.select("query_id", "groups"), "query_id")
     fused = fuse(legs_topk(index, asked, pool), pool)

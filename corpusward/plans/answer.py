@@ -48,22 +48,23 @@ def answer(
     questions: DataFrame, principals: DataFrame, cached: DataFrame, index: DataFrame,
     chunks: DataFrame, encoded: DataFrame, generated: DataFrame, limit: int = 5,
     cache_mode: str = "all_chunks", cache_encoded: DataFrame | None = None,
+    active_only: bool = True,
 ) -> dict[str, DataFrame]:
     """The flow end to end.
 
     ``questions``: ``query_id, username, query, ts``; ``encoded``: vectors of the expanded
     questions, for the search; ``cache_encoded``: those of the plain ones, for the cache, if they
-    differ; ``cached``: live cache entries; ``generated``: model answers. Returns ``hits``,
+    differ; ``cached``: live cache entries; ``generated``: model answers. Replaced versions are not
+    searched unless ``active_only`` is off. Returns ``hits``,
     ``retrieved``, ``answers``, the ``entries`` to write to the cache, and the ``audit`` rows.
     """
     asked = accepted(questions, principals)
     plain = encoded if cache_encoded is None else cache_encoded
     vectors = asked.select("query_id", "groups").join(plain, "query_id")
     hits = cut(cache.lookup(vectors, cached, mode=cache_mode))
-    missed = cache.misses(asked, hits)
-    retrieved = search.search(
-        index, chunks, missed, encoded.join(missed.select("query_id"), "query_id", "left_semi"), limit
-    )
+    missed = cut(cache.misses(asked, hits))
+    vectors = encoded.join(missed.select("query_id"), "query_id", "left_semi")
+    retrieved = cut(search.search(index, chunks, missed, vectors, limit, active_only=active_only))
     answers = finished(guarded(missed, retrieved), generated)
     served = (
         hits.select("query_id", F.col("response_text").alias("response"), F.lit("cache").alias("served_from"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusward.operators import admin, cache, chunking, dedup, search, versions, weights
+from corpusward.operators import admin, ann, cache, chunking, dedup, reports, search, versions, weights
 from corpusward.operators.running import id_bucket, with_running
 from corpusward.operators.skew import join_hot
 
@@ -210,6 +210,68 @@ def test_legs_equal_brute_force_on_both_paths(tables):
     assert rows(grid, *columns) == want
 
 
+def test_grid_by_elements_and_no_questions(tables, monkeypatch):
+    index, asked, index_df, asked_df = tables
+    monkeypatch.setattr(search, "QUESTION_ELEMENTS", 60)
+    monkeypatch.setattr(search, "CELL_ELEMENTS", 900)
+    assert rows(search.legs_topk(index_df, asked_df, 10), "leg", "query_id", "chunk_key", "rank") == brute(index, asked, 10)
+    assert search.legs_topk(index_df, asked_df.limit(0), 10).count() == 0
+
+
+def test_null_and_unknown_groups(spark):
+    schema = "chunk_key long, allowed_groups array<string>, dense array<double>"
+    index = spark.createDataFrame([(1, None, [1.0]), (2, [None, "HR"], [1.0]), (3, ["Public"], [1.0]), (4, ["X"], [1.0])], schema)
+    asked = spark.createDataFrame([(1, ["HR", None, "HR"], [1.0]), (2, None, [1.0])], "query_id long, groups array<string>, dense array<double>")
+    assert rows(search.dense_topk(index, asked, 5), "query_id", "chunk_key") == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_search_leaves_replaced_versions_out(spark):
+    schema = "chunk_key long, filename string, allowed_groups array<string>, text string, is_active boolean"
+    chunks = spark.createDataFrame([(1, "a", ["Public"], "old leave rules", False), (2, "a", ["Public"], "new leave rules", True)], schema)
+    asked = spark.createDataFrame([(1, "leave rules", ["Public"])], "query_id long, query string, groups array<string>")
+    vocab = weights.vocabulary(chunks)
+    index = weights.encode(chunks, vocab, 8).join(chunks.select("chunk_key", "allowed_groups"), "chunk_key")
+    encoded = weights.encode(asked, vocab, 8, "query_id", "query")
+    found = lambda **options: rows(search.search(index, chunks, asked, encoded, **options), "chunk_key")
+    assert found() == [(2,)]
+    assert found(active_only=False) == [(1,), (2,)]
+
+
+def test_cells_find_neighbours_with_few_pairs(spark):
+    rnd = np.random.default_rng(4)
+    middles = rnd.normal(size=(30, 8))
+    # a third of all vectors in one place; some zero
+    spot = np.where(rnd.random(2000) < 0.33, 0, rnd.integers(0, 30, 2000))
+    vectors = middles[spot] + 0.15 * rnd.normal(size=(2000, 8))
+    vectors[:5] = 0
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "chunk_key long, dense array<double>")
+    asked = spark.createDataFrame([(q, (m + 0.1).tolist()) for q, m in enumerate(middles)], "query_id long, dense array<double>")
+    cells = ann.build_cells(index)
+    exact = search.dense_topk(index, asked, 10)
+    found = ann.dense_topk_ann(cells, asked, 10)
+    assert ann.recall(found, exact).first()["recall"] >= 0.9
+    assert ann.pair_share(cells, asked, ann.probes_for(cells, asked, 10, 0.97)) < 0.5
+    blocks = ann.probe(cells, asked, 10, 6, question_bound=3, cell_rows=50).groupBy("query_id", "chunk_key").count()
+    assert blocks.filter("count > 1").count() == 0
+    # more than the probed cells hold: the whole index is searched
+    every = ann.dense_topk_ann(cells, asked.limit(1), 2000, probes=1)
+    assert every.count() == 2000
+    assert ann.dense_topk_ann(index.limit(0), asked, 3).count() == 0
+    assert ann.dense_topk_ann(index, asked.limit(0), 3, probes=2).count() == 0
+
+
+def test_p95_is_exact(spark):
+    start = datetime(2024, 1, 1)
+    data = [(start + timedelta(minutes=i // 100), (i * 37) % 1000, False, False, 1) for i in range(1999)]
+    requests = spark.createDataFrame(data, "ts timestamp, latency_ms int, cached boolean, failed boolean, tokens int")
+    got = {r.window_start: r.p95_ms for r in reports.ops_rollup(requests, "10 minutes").collect()}
+    for at, value in got.items():
+        times = sorted(d[1] for d in data if at <= d[0] < at + timedelta(minutes=10))
+        assert value == times[-(-len(times) * 95 // 100) - 1]
+    sketched = reports.ops_rollup(requests.withColumn("cost", F.lit(0.5)), accuracy=1000)
+    assert sketched.select(F.sum("cost")).first()[0] == 1999 / 2
+
+
 def test_fusion_counts_single_leg_chunks(spark):
     ranked = spark.createDataFrame([(1, 10, 1), (1, 10, 3), (1, 11, 1), (1, 12, 2)], "query_id long, chunk_key long, rank int")
     got = search.fuse(ranked, 3).orderBy("fused_rank").collect()
