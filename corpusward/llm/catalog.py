@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import chat, exact, licenses, mixing, pieces, quality, simhash, tokens, toxicity, warc
+from corpusward.llm import (
+    chat, exact, licenses, mixing, negatives, pieces, quality, simhash, tokens, toxicity, warc,
+)
 from corpusward.session import scratch_path
 
 QUERIES, SQL = {}, {}
@@ -159,3 +161,26 @@ def op6_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
     model = toxicity.train(docs, table(spark, sf, "labels"), TOXIC_CHAIN)
     return toxicity.flagged(toxicity.score(docs, model))
+
+
+@query("""WITH e AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.row, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.row <> b.row AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, id) AS nth FROM pairs WHERE same QUALIFY nth <= 5),
+mined AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.row, p.nth ORDER BY n.score DESC, n.id)::INT AS rank
+  FROM positives p JOIN pairs n ON n.row = p.row AND NOT n.same
+    AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM mined WHERE rank <= 10""")
+def op11_hard_negatives(spark, sf):
+    vectors = table(spark, sf, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    ).withColumn("embedding", F.transform("embedding", lambda x: negatives.quantized(x)))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
