@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusward.llm import (
-    chat, exact, licenses, mixing, negatives, pieces, quality, simhash, tokens, toxicity, warc,
+    chat, exact, licenses, mixing, negatives, phrases, pieces, quality, simhash, tokens, toxicity, warc,
 )
 from corpusward.session import scratch_path
 
@@ -184,3 +184,32 @@ def op11_hard_negatives(spark, sf):
         "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     ).withColumn("embedding", F.transform("embedding", lambda x: negatives.quantized(x)))
     return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query(r"""WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+pieces AS (SELECT row, lang, unnest(string_split_regex(body, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+spots AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w WHERE len(words) > 0),
+grams AS (SELECT lang, k AS size, array_to_string(words[i:i+k-1], ' ') AS phrase
+  FROM spots, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(words)),
+f AS (SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS words FROM f WHERE size > 1 AND n >= 10),
+cuts AS (SELECT lang, size, phrase, a, k, array_to_string(words[1:k], ' ') AS p1, array_to_string(words[k+1:], ' ') AS p2
+  FROM candidates, (SELECT unnest([1, 2]) AS k) WHERE k < size),
+scored AS (SELECT c.lang, c.size, c.phrase, c.a, c.k, x.n AS l, y.n AS r,
+    ((1000000::HUGEINT * c.a * c.a) // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.p1 JOIN f y ON y.lang = c.lang AND y.phrase = c.p2),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, array_to_string(words[1:2], ' ') AS phrase, a FROM candidates WHERE size = 3
+    UNION ALL SELECT lang, array_to_string(words[2:3], ' '), a FROM candidates WHERE size = 3) GROUP BY ALL),
+free AS (SELECT s.* FROM lowest s LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase
+  WHERE g.longer IS NULL OR 100 * g.longer < 50 * s.a)
+SELECT free.lang, row_number() OVER (PARTITION BY free.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, totals.n, score
+FROM free JOIN totals ON totals.lang = free.lang QUALIFY rank <= 2000""")
+def op12_phrases(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
