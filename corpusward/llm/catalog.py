@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusward.llm import (
-    chat, exact, licenses, mixing, negatives, phrases, pieces, quality, simhash, tokens, toxicity, warc,
+    chat, exact, leaks, licenses, mixing, negatives, phrases, pieces, quality, simhash, tokens,
+    toxicity, warc,
 )
 from corpusward.session import scratch_path
 
@@ -213,3 +214,34 @@ SELECT free.lang, row_number() OVER (PARTITION BY free.lang ORDER BY score DESC,
 FROM free JOIN totals ON totals.lang = free.lang QUALIFY rank <= 2000""")
 def op12_phrases(spark, sf):
     return phrases.collocations(table(spark, sf, "documents"))
+
+
+@query(r"""WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+starts AS (SELECT item, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM b WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item, least(len(words), 10) AS width, array_to_string(words[i:i+9], ' ') AS gram FROM starts),
+widths AS (SELECT DISTINCT width FROM windows),
+spots AS (SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM d WHERE len(words) > 0),
+grams AS (SELECT row, i, width, array_to_string(words[i:i+width-1], ' ') AS gram
+  FROM spots, widths WHERE i + width - 1 <= len(words)),
+hits AS (SELECT row, i, g.width, item FROM grams g JOIN windows w ON w.width = g.width AND w.gram = g.gram),
+covered AS (SELECT row, count(DISTINCT p) AS n_hit FROM (
+  SELECT row, unnest(range(i, i + width)) AS p FROM hits) GROUP BY row),
+found AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered c ON c.row = d.row LEFT JOIN found f ON f.row = d.row""")
+def op13_decontaminate(spark, sf):
+    rows = leaks.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    hit = leaks.n_hit(F.col("spans"))
+    return rows.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
