@@ -104,7 +104,8 @@ q AS (SELECT *, CASE WHEN p >= 1 THEN 0 WHEN p <= 0 THEN 'inf'::DOUBLE
         ELSE (u / (1 - u)) / (p / (1 - p)) END AS rank FROM u),
 c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q),
-n AS (SELECT *, (whole + CASE WHEN p > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM c)
+n AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE
+        whole + CASE WHEN p > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END END::BIGINT AS copies FROM c)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM n""")
 def op10_mix_sources(spark, sf):
     return mixing.mix(table(spark, sf, "documents"))

@@ -17,8 +17,8 @@ ones are broadcast (at most ``1 / HOT_SHARE``). The only unpartitioned window is
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a null
 id draws like an id of its own; of rows with the same id and size, which draw alike, any may be
-taken; documents of size 0 and a corpus without words take nothing; an empty table gives an empty
-result; columns other than those named are not read.
+taken; documents of size 0 take nothing and are in no mix, so a corpus without words has an empty
+one; an empty table gives an empty result; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -145,13 +145,15 @@ def sample(
             "__source", F.col("__hot"), F.col("id"),
         )
         .withColumn("__rank", pareto_rank(uniform(F.col("id"), seed), p))
+        # documents that can't be taken once more stand behind all buckets and are never sorted
         .withColumn("__bucket", F.when(
-            rank < float("inf"), F.floor(rank / (1 + rank) * buckets)
+            (rank < float("inf")) & (F.col("size") > 0),
+            F.least(F.floor(rank / (1 + rank) * buckets), buckets - 1),
         ).otherwise(buckets))
         .drop("weight", "mean_weight", "__hot")
     )
 
-    sums = ranked.groupBy("__source", "__bucket").agg(
+    sums = ranked.filter(F.col("__bucket") < buckets).groupBy("__source", "__bucket").agg(
         F.sum("size").alias("__words"), F.max("__rest").alias("__rest")
     )
     so_far = W.partitionBy("__source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -160,25 +162,27 @@ def sample(
         "__source"
     ).agg(F.min(F.struct("__bucket", "__base")).alias("__cut"))
     found = per_source.join(crossing, "__source", "left").select(
-        "__source", F.coalesce("__cut.__bucket", buckets + 1).alias("__at"),
+        "__source", F.coalesce("__cut.__bucket", buckets).alias("__at"),
         F.coalesce("__cut.__base", F.lit(0)).alias("__base"), hot.alias("__hot"),
     )
     placed = join_hot(ranked, cut(found), "__source", F.col("__hot"), F.col("id"))
 
     columns = [*keep, "source_size", "target"]
-    clear = placed.filter(F.col("__bucket") != F.col("__at")).select(
+    at_cut = (F.col("__bucket") == F.col("__at")) & (F.col("__bucket") < buckets)
+    once_more = (F.col("__bucket") < F.col("__at")).cast("bigint")
+    clear = placed.filter(~at_cut).select(
         *columns,
-        (F.col("__whole") + (F.col("__bucket") < F.col("__at")).cast("bigint")).alias("copies"),
+        F.when(F.col("size") > 0, F.col("__whole") + once_more).otherwise(0).alias("copies"),
     )
     inside = W.partitionBy("__source").orderBy("__rank", "id", "size").rowsBetween(
         W.unboundedPreceding, -1
     )
     before = F.col("__base") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     near = 2 * before + F.col("size") <= 2 * F.col("__rest")
-    at_cut = placed.filter(F.col("__bucket") == F.col("__at")).select(
+    sorted_out = placed.filter(at_cut).select(
         *columns, (F.col("__whole") + near.cast("bigint")).alias("copies")
     )
-    return clear.unionByName(at_cut)
+    return clear.unionByName(sorted_out)
 
 
 def mix(

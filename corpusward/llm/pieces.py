@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import AbstractContextManager
 from itertools import chain
 
 import ahocorasick
@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusward.llm.memory import Memory, sliced
+from corpusward.llm.memory import Kept, Memory, sliced
 
 MARK = "▁"
 # Words, and pairs of pieces, that a generation of a worker's memory holds.
@@ -140,10 +140,12 @@ class Encoder:
         return self.library.decode(ids)
 
 
-@lru_cache(maxsize=2)
-def encoder(model: bytes, remembered: int = REMEMBERED) -> Encoder:
-    """One encoder per worker process, model and size of its memory."""
-    return Encoder(model, remembered)
+_KEPT = Kept(Encoder)
+
+
+def encoder(model: bytes, remembered: int = REMEMBERED) -> AbstractContextManager[Encoder]:
+    """The worker process's encoder, for the model and the size of its memory that its task names."""
+    return _KEPT.of(model, remembered)
 
 
 def _read(path: str) -> bytes:
@@ -156,10 +158,10 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", body: str = "text")
     model = _read(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model)
-        for batch in sliced(batches):
-            ids = pa.array([own.encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
+        with encoder(model) as own:
+            for batch in sliced(batches):
+                ids = pa.array([own.encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
 
     kind, rows = _keyed(docs, key, body)
     return rows.mapInArrow(run, f"id {kind}, ids ARRAY<INT>").withColumnRenamed("id", key)
@@ -170,10 +172,10 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     model = _read(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model)
-        for batch in sliced(batches):
-            texts = pa.array([own.decode(v.as_py() or []) for v in batch.column(1)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["id", "text"])
+        with encoder(model) as own:
+            for batch in sliced(batches):
+                texts = pa.array([own.decode(v.as_py() or []) for v in batch.column(1)], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["id", "text"])
 
     kind = encoded.select(key).schema[0].dataType.simpleString()
     rows = encoded.select(F.col(key).alias("id"), F.col(ids).alias("ids"))
@@ -199,23 +201,23 @@ def round_trip(
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model, remembered)
-        for batch in sliced(batches):
-            counts, of_ids, of_text, kept = [], [], [], []
-            for text in batch.column(1):
-                entries = own.entries(text.as_py() or "")
-                ids = list(chain.from_iterable(e[0] for e in entries))
-                line = ",".join([e[1] for e in entries if e[1]])
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(line.encode()).hexdigest())
-                of_text.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
-                if with_ids:
-                    kept.append(pa.array(ids, pa.int32()))
-            arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()),
-                      pa.array(of_text, pa.string())]
+        with encoder(model, remembered) as own:
+            for batch in sliced(batches):
+                yield pa.RecordBatch.from_arrays([batch.column(0), *digested(own, batch.column(1))], names)
+
+    def digested(own: Encoder, texts: pa.Array) -> list[pa.Array]:
+        counts, of_ids, of_text, kept = [], [], [], []
+        for text in texts:
+            entries = own.entries(text.as_py() or "")
+            ids = list(chain.from_iterable(e[0] for e in entries))
+            line = ",".join([e[1] for e in entries if e[1]])
+            counts.append(len(ids))
+            of_ids.append(hashlib.sha256(line.encode()).hexdigest())
+            of_text.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
             if with_ids:
-                arrays.append(pa.array(kept, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                kept.append(pa.array(ids, pa.int32()))
+        arrays = [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+        return arrays + ([pa.array(kept, pa.list_(pa.int32()))] if with_ids else [])
 
     kind, rows = _keyed(docs, key, body)
     schema = f"id {kind}, n_tokens BIGINT, ids_sha256 STRING, decoded_sha256 STRING"

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusward.llm.graph import components, forest
+from corpusward.llm.rows import PLACE, located
 from corpusward.operators.skew import join_hot
 from corpusward.session import cut, release
 
@@ -81,18 +82,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(
-    docs: DataFrame, key: str = "doc_id", body: str = "text", shingle: int = SHINGLE
+    docs: DataFrame, key: str = "doc_id", body: str = "text", shingle: int = SHINGLE,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(id, fp)`` per row, the fingerprint as a signed bigint."""
+    """``(id, fp, *keep)`` per row, the fingerprint as a signed bigint."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint(text.as_py(), shingle) for text in batch.column(1)]
             prints = np.array(values, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(prints), *batch.columns[2:]], ["id", "fp", *keep]
+            )
 
-    kind = docs.select(key).schema[0].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("id"), F.col(body).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, fp BIGINT")
+    rows = docs.select(F.col(key).alias("id"), F.col(body).cast("string").alias("text"), *keep)
+    kinds = {field.name: field.dataType.simpleString() for field in rows.schema}
+    kept = "".join(f", {name} {kinds[name]}" for name in keep)
+    return rows.mapInArrow(run, f"id {kinds['id']}, fp BIGINT{kept}")
 
 
 # --- upper nodes and Gray order ----------------------------------------------------------------
@@ -336,9 +341,14 @@ def near_duplicates(
     groups = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     labels = link_components(groups.select("fp"), max_bits)
     named = groups.join(labels, "fp")
-    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = named.withColumn("comp", F.col("comp").cast("string"))
+    prints = groups.select(F.count("*")).scalar()
+    least = named.groupBy("comp").agg(
+        F.min("least").alias("component_id"),
+        (F.count("*") >= F.greatest(prints * HOT_SHARE, F.lit(1000))).alias("__wide"),
+    )
     total = groups.select(F.sum("n")).scalar()
-    lookup = named.join(least, "comp").select(
+    lookup = join_hot(named, least, "comp", F.col("__wide"), F.col("fp")).select(
         F.col("fp").cast("string").alias("__fp"), "component_id",
         (F.col("n") >= F.greatest(total * HOT_SHARE, F.lit(1000))).alias("__hot"),
     )
@@ -355,10 +365,15 @@ def keep_representatives(
     docs: DataFrame, key: str = "doc_id", body: str = "text", shingle: int = SHINGLE,
     max_bits: int = MAX_BITS,
 ) -> DataFrame:
-    """``docs`` with one row of every group: that of the smallest id, a null id only alone.
+    """``docs`` with one row of every group: that of the smallest id.
 
-    Ids must be unique; of rows that share an id all stay or go together.
+    A null id comes after all others; of rows that share an id the first by file and row stays.
     """
-    groups = near_duplicates(docs, key, body, shingle, max_bits)
-    gone = groups.filter(F.col(key) != F.col("component_id")).select(key)
-    return docs.join(gone, key, "left_anti")
+    located_rows = located(docs)
+    rows = cut(fingerprints(located_rows, key, body, shingle, tuple(PLACE)))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", *PLACE)).alias("first")
+    groups = cut(rows.groupBy("fp").agg(first))
+    labels = link_components(groups.select("fp"), max_bits)
+    stays = groups.join(labels, "fp").groupBy("comp").agg(F.min("first").alias("first"))
+    stays = stays.select(*[F.col(f"first.{name}").alias(name) for name in PLACE])
+    return located_rows.join(stays, PLACE, "left_semi").select(*docs.columns)

@@ -27,7 +27,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import AbstractContextManager
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusward.llm.memory import Memory, sliced
+from corpusward.llm.memory import Kept, Memory, sliced
 
 # Units that a generation of a worker's memory holds.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 WRITER = {
     "compression": "zstd",
     "parquet.writer.version": "v2",
@@ -59,6 +59,13 @@ _MARKS = ".,;:!?#$%&*|()"
 _IRREGULAR = re.compile(r"\s\s|\A\s")
 
 
+def _plain(text: str) -> bool:
+    """Whether all blanks are lone spaces and line ends; False may also mean that it is unclear."""
+    return text[0] not in " \n" and text.replace("\n", "").isprintable() and not any(
+        pair in text for pair in ("  ", " \n", "\n ", "\n\n")
+    )
+
+
 def _byte_names() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -85,18 +92,21 @@ class Encoder:
         )
         self.special = [token["content"] for token in form.get("added_tokens") or []]
         self.names = _byte_names()
+        self.tokenize, self.blank = self.library.model.tokenize, self.names[32]
+        self.packed = [_packed([i]) for i in range(1 + max(self.library.get_vocab().values()))]
         self.words = Memory(self._word, remembered)  # units without their leading blank
-        self.units = Memory(self._unit, remembered // 10)
-        self.parts = Memory(self._part, remembered)
+        self.units = Memory(self._unit, remembered // 20)
+        self.parts = Memory(self._part, remembered // 20)
 
     def _part(self, mapped: str) -> bytes:
         """Ids of one pre-token, given in byte characters."""
-        return _packed([token.id for token in self.library.model.tokenize(mapped)])
+        packed = self.packed
+        return b"".join([packed[token.id] for token in self.tokenize(mapped)])
 
     def _mapped(self, part: str) -> bytes:
         if part.isascii():
-            return self.parts[part.replace(" ", self.names[32])]
-        return self.parts[part.encode().decode("latin-1").translate(self.names)]
+            return self._part(part.replace(" ", self.blank))
+        return self._part(part.encode().decode("latin-1").translate(self.names))
 
     def _unit(self, text: str) -> bytes:
         """Ids of a unit; the common forms are cut here, others by the library.
@@ -121,29 +131,36 @@ class Encoder:
             return b""
         if not self.by_unit or any(token in text for token in self.special):
             return self._whole(text)
-        if _IRREGULAR.search(text):
+        if not _plain(text) and _IRREGULAR.search(text):
             return b"".join([self.units[unit] for unit in _CUT.split(text)])
         first, *rest = text.replace("\n", " \n").split(" ")
-        words = self.words
-        return self.units[first] + b"".join([words[word] for word in rest])
+        return self.units[first] + b"".join(map(self.words.__getitem__, rest))
 
     def _word(self, text: str) -> bytes:
+        if text.isalpha():
+            return self._part(self.blank + text) if text.isascii() else self._mapped(f" {text}")
         return self._unit(text if text[:1] == "\n" else f" {text}")
 
 
-@lru_cache(maxsize=2)
-def encoder(spec: str) -> Encoder:
-    """One encoder per worker process and tokenizer."""
-    return Encoder(spec)
+_KEPT = Kept(Encoder)
+
+
+def encoder(spec: str) -> AbstractContextManager[Encoder]:
+    """The worker process's encoder, for the tokenizer that its task names."""
+    return _KEPT.of(spec)
 
 
 def _encoded(spec: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+        with encoder(spec) as own:
+            for batch in sliced(batches):
+                yield batch, [own.encode(text.as_py()) + end for text in batch.column(1)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard, offset = encoder(spec), TaskContext.get().partitionId(), 0
-        for batch in sliced(batches):
-            rows = [own.encode(text.as_py()) + end for text in batch.column(1)]
+        shard, offset = TaskContext.get().partitionId(), 0
+        for batch, rows in encoded(batches):
             counts = np.array([len(r) // 4 for r in rows], np.int64)
             ends = np.cumsum(counts)
             flat = np.frombuffer(b"".join(rows), "<u4").astype(np.int32)

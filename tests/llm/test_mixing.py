@@ -33,7 +33,8 @@ def check(rows, got):
     for r in got:
         assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
         assert 0 <= r.copies <= 3
-        assert r.copies - int(want[r.source] // max(1, sizes[r.source])) in (0, 1) or not sizes[r.source]
+        assert r.copies - int(want[r.source] // max(1, sizes[r.source])) in (0, 1) or not r.size
+        assert r.size or not r.copies
         taken[r.source] += r.copies * r.size
         largest[r.source] = max(largest[r.source], r.size)
     for source in sizes:
@@ -65,6 +66,40 @@ def test_edges(spark, rows):
     check(rows, mixing.sample(mixing.sized(df)).collect())
 
 
+def test_empty_documents_and_capped_sources(spark):
+    """Copies as the registered SQL has them, where a source is capped, empty or both."""
+    import duckdb
+
+    from corpusward.llm import catalog
+
+    rows = [(i, "w " * (i % 4), "tiny") for i in range(60)] + [(100 + i, "", "none") for i in range(20)]
+    rows += [(200 + i, "w " * 90, "big") for i in range(50)] + [(300 + i, None, "big") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    got = {r.doc_id: (r.size, r.taken, r.copies) for r in mixing.mix(df, weights=(1, 2, 5)).collect()}
+    frame = df.toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM frame")
+    sql = catalog.SQL["op10_mix_sources"].replace("WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END", "WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END")
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, size, taken, copies FROM ({sql})").fetchall()}
+    assert got == want and {c for i, (size, _, c) in got.items() if 100 > i and size} == {3}
+    assert mixing.repeated(df).filter("source = 'none'").isEmpty()
+
+
+def test_a_source_that_cannot_grow_is_not_sorted(spark):
+    """Only rows of a cut bucket reach the window: none of a source that is taken whole."""
+    rows = [(i, "w", "a") for i in range(3000)] + [(9000 + i, "w " * 900, "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    got = mixing.mix(df, bucket_rows=10).collect()
+    assert {r.copies for r in got if r.doc_id < 9000} == {3}
+    check(rows, [_with_source(r, rows) for r in got])
+
+
+def _with_source(row, rows):
+    from types import SimpleNamespace
+
+    return SimpleNamespace(**row.asDict(), source=dict((i, s) for i, _, s in rows)[row.doc_id])
+
+
 def test_reruns_agree_and_stage_repeats(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     first = {r.doc_id: r.copies for r in mixing.mix(table).collect()}

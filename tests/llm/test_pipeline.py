@@ -9,6 +9,7 @@ import sentencepiece
 
 import corpus_pipeline
 from corpusward.llm import mixing, quality
+from corpusward.session import cut
 from tests.llm.helpers import docs, smallest_reachable
 from tests.llm.test_quality import measures
 from tests.llm.test_simhash import plain_fingerprint
@@ -46,10 +47,27 @@ def test_run(spark):
 
 def test_stages_take_anything(spark):
     text = "a clean little text of more than ten words that nobody would ever drop {}"
-    rows = [(1, text.format("x")), (2, text.format("x")), (3, None), (None, text.format("y z")), (4, "")]
-    for frame in (docs(spark, rows, extra=True), docs(spark, rows, extra=True).limit(0)):
-        now = frame
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            now = stage(spark, now, SF)
-            assert now.columns == frame.columns
-        assert corpus_pipeline.STAGES[-1][1](spark, now, SF).count() >= 0
+    rows = [
+        (1, text.format("x")), (2, text.format("x")), (3, None), (None, text.format("y z")), (4, ""),
+        # ids that stand for different texts: only the copy goes
+        (2, "the second row of this id says something else, and at a length that passes all rules"),
+        (5, "five five five five five five five five five five five five five five five five"),
+    ]
+    frame = docs(spark, rows, extra=True)
+    now, left = frame, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = cut(stage(spark, now, SF))
+        assert now.columns == frame.columns
+        left.append(sorted({str(r.doc_id) for r in now.collect()}))
+    assert left == [["1", "2", "None"], ["2", "None"], ["2", "None"], ["2", "None"]]
+    last = corpus_pipeline.STAGES[-1][1](spark, now, SF)
+    texts = Counter(r.text for r in now.collect())
+    assert len(texts) == 3 and last.count() == sum(texts.values())
+    assert all(r.n_tokens == len(r.ids) > 0 for r in last.collect())
+
+
+def test_stages_take_nothing(spark):
+    now = docs(spark, []).limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = cut(stage(spark, now, SF))
+    assert corpus_pipeline.STAGES[-1][1](spark, now, SF).collect() == []

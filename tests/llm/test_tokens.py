@@ -96,7 +96,7 @@ def test_empty(spark):
 def test_piece_round_trip(spark):
     import hashlib
 
-    own = pieces.encoder(open(PIECES, "rb").read()).library
+    own = pieces.Encoder(open(PIECES, "rb").read()).library
     df = docs(spark, ROWS, extra=True)
     got = pieces.round_trip(df, PIECES, with_ids=True).collect()
     assert len(got) == len(ROWS)
