@@ -2,6 +2,13 @@
 
 Every stage gets what its predecessor kept, written as Parquet and read again, so that a lost
 executor never reaches back beyond one stage. All but the last return the columns of ``documents``.
+``run`` removes a stage's table once the next one is written.
+
+Defined results: null, empty and word-poor texts fail the quality rules and are out. Rows are told
+apart by where they lie, never by id, so rows of one id, or of none, stay or go by their own text;
+of equal texts the row of the largest id stays, then of each near-copy group that of the smallest,
+null ids giving way to others. Documents the mix takes several times come as several equal rows.
+Further columns pass through untouched, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusward.llm import exact, mixing, pieces, quality, simhash
-from corpusward.session import cut
+from corpusward.session import cut, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        done, docs = docs, cut(stage(spark, docs, sf_dir))
+        release(done)
     return STAGES[-1][1](spark, docs, sf_dir)
