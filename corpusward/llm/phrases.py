@@ -1,22 +1,22 @@
 """Phrase collocations, counted in a HAT-trie that spills sorted runs.
 
-1. *Count.* A task walks over its texts and adds, for every word, the phrase of up to ``longest``
-   words that starts there to a trie. The trie's upper levels are keyed by word number; below them
-   hang hash containers, which burst into a node when they grow. Shorter phrases need no entries:
+1. *Count.* A task walks over its texts and adds, for every word, the phrase of up to three words
+   that starts there to a trie of its language. The trie's upper levels are keyed by word number;
+   below them hang hash containers, which burst when they are full. Shorter phrases need no entries:
    their counts are sums over a subtree. Beyond a bound on entries or on bytes of words the trie
-   spills whole subtrees, the largest first, as runs sorted by word. Runs are a table in the scratch
-   folder, so a lost executor costs only the runs it was writing.
-2. *Merge.* Runs are dealt by range of (words, language), each partition a stretch of prefixes, and
-   sorted; ranges end between whole phrases, so a frequent first word or word pair is cut over as
-   many partitions as it needs. A partition adds up equal phrases and closes every prefix it has
-   passed; only the prefixes at its two ends can go on next door, and those are added up after it.
-   Phrases below the least count never leave the partition.
+   spills whole subtrees, the largest first, as a run sorted by word.
+2. *Merge.* Runs are cut into blocks by prefix partition, a stretch of phrases in word order. Bounds
+   lie between whole phrases of a sample, so a frequent first word or word pair is cut over as many
+   partitions as it needs, and their number follows the size of the corpus. Spark shuffles the
+   blocks; a partition merges its runs, adds up equal phrases and closes their prefixes. Only the
+   prefixes at its two ends can go on next door; those are added up after it. Phrases below the
+   least count never leave the partition.
 3. *Score.* What remains are the frequent phrases, among them all parts of candidates, as a part is
    never rarer than the whole. Candidates meet the counts of their parts by joins that spread hot
    parts; the counts of longer candidates reach the shorter ones as one maximum per phrase.
 
-Counts are exact over all words of all texts. Only the runs, the partition being merged and the
-bounded trie are ever held.
+Counts are exact over all words of all texts; the sample decides only where they are made. A task
+holds its bounded tries, or one partition's runs. Lost executors cost the shuffle files they held.
 
 Defined results: words are compared as bytes after lower-casing A to Z; a null text is empty, a
 null language is ``und`` and as such the same as a language of that name; the same text in several
@@ -27,6 +27,7 @@ read, whatever their names. Scores are computed in decimals of 38 digits, exact
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import partial
@@ -47,10 +48,15 @@ LONGEST = 3
 ENDS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 UNKNOWN = "und"
-# Entries of a worker's trie, bytes of its words, and entries of a container before it bursts.
-ENTRIES = 600_000
+# Entries of a worker's tries, bytes of its words, and entries of a container before it bursts.
+ENTRIES = 800_000
 WORD_BYTES = 32 << 20
-BURST = 4096
+BURST = 1 << 15
+# Words whose phrases a prefix partition holds, about; texts sampled for each, and a phrase of how
+# many words of a sampled text.
+PART_WORDS = 2_000_000
+SAMPLE_DOCS = 20
+SAMPLE_STEP = 41
 _BITS = 21  # of a word's number inside a worker
 _MASK = (1 << _BITS) - 1
 # A phrase part among this share of all parts is a hot join key.
@@ -68,60 +74,101 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 class HatTrie:
-    """Counts of phrases of three words or less, as numbers; 0 stands for no word.
+    """Counts of phrases of three words or less, as numbers below ``1 << 21``; 0 stands for no word.
 
-    Below a first word hangs a container, which counts second and third words together, until it
-    bursts into one container per second word.
+    The root's first container is shared by all first words. When it is full it bursts: first words
+    with many phrases get a container of their own, and that one, when full, bursts into a node with
+    a container per second word.
     """
 
     def __init__(self, burst: int = BURST) -> None:
-        self.burst = burst
-        self.flat: defaultdict[int, Counter] = defaultdict(Counter)
+        self.burst, self.room = burst, 4 * burst
+        self.shared: Counter = Counter()
+        self.flat: dict[int, Counter] = {}
         self.nodes: dict[int, defaultdict[int, Counter]] = {}
+        self.apart = np.zeros(1 << _BITS, bool)  # first words that have left the shared container
 
     def add(self, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> None:
+        apart = self.apart[first]
+        key = second << _BITS | third
+        self.shared.update((first << 2 * _BITS | key)[~apart].tolist())
+        if apart.any():
+            self._add_apart(first[apart], key[apart])
+        if len(self.shared) > self.room:
+            self._burst_shared()
+
+    def _add_apart(self, first: np.ndarray, key: np.ndarray) -> None:
         order = np.argsort(first, kind="stable")
-        first, second, third = first[order], second[order], third[order]
-        both = (second << _BITS | third).tolist()
-        cuts = np.nonzero(np.diff(first, prepend=-1, append=-1))[0].tolist()
-        heads = first[cuts[:-1]].tolist()
-        for head, a, b in zip(heads, cuts, cuts[1:], strict=False):
+        first, keys = first[order], key[order].tolist()
+        cuts = np.flatnonzero(np.diff(first, prepend=-1, append=-1)).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            head = int(first[a])
             node = self.nodes.get(head)
             if node is None:
                 container = self.flat[head]
-                container.update(both[a:b])
+                container.update(keys[a:b])
                 if len(container) > self.burst:
-                    self._split(head)
+                    self._burst(head)
             else:
-                for key in both[a:b]:
-                    node[key >> _BITS][key & _MASK] += 1
-
-    def _split(self, head: int) -> None:
+                for k in keys[a:b]:
+                    node[k >> _BITS][k & _MASK] += 1
+
+    def _burst_shared(self) -> None:
+        """Give the first words with the most phrases containers of their own."""
+        key, n = self._shared()
+        first = key >> 2 * _BITS
+        heads, sizes = np.unique(first, return_counts=True)
+        heads = heads[sizes > self.burst // 16]
+        self.apart[heads] = True
+        leave = self.apart[first]
+        self.shared = Counter(dict(zip(key[~leave].tolist(), n[~leave].tolist(), strict=True)))
+        for head in heads.tolist():
+            self.flat[head] = Counter()
+        rest = (1 << 2 * _BITS) - 1
+        for head, k, count in zip(first[leave].tolist(), (key[leave] & rest).tolist(), n[leave].tolist(), strict=True):
+            self.flat[head][k] = count
+        self.room = max(self.room, 2 * len(self.shared))  # what is left has few phrases a word
+
+    def _burst(self, head: int) -> None:
         node = self.nodes[head] = defaultdict(Counter)
         for key, n in self.flat.pop(head).items():
             node[key >> _BITS][key & _MASK] = n
 
+    def _shared(self) -> tuple[np.ndarray, np.ndarray]:
+        size = len(self.shared)
+        return np.fromiter(self.shared, np.int64, size), np.fromiter(self.shared.values(), np.int64, size)
+
     def sizes(self) -> dict[int, int]:
-        """Entries below each first word."""
-        out = {head: len(container) for head, container in self.flat.items()}
+        """Entries below each first word that stands apart, and under 0 those of all others."""
+        out = {0: len(self.shared)} | {head: len(container) for head, container in self.flat.items()}
         return out | {head: sum(map(len, node.values())) for head, node in self.nodes.items()}
 
     def cut_off(self, heads: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Take whole subtrees out: first, second and third words, and counts."""
+        """Take whole subtrees, as ``sizes`` names them, out: first, second, third words, counts."""
         firsts, keys, counts = [], [], []
         for head in heads:
-            before = len(keys)
+            if not head:
+                key, n = self._shared()
+                firsts.append(key >> 2 * _BITS)
+                keys.append(key & (1 << 2 * _BITS) - 1)
+                counts.append(n)
+                self.shared.clear()
+                continue
+            own, n = [], []
             if head in self.nodes:
                 for second, container in self.nodes.pop(head).items():
-                    keys += [second << _BITS | third for third in container]
-                    counts += container.values()
+                    own += [second << _BITS | third for third in container]
+                    n += container.values()
             else:
                 container = self.flat.pop(head)
-                keys += container
-                counts += container.values()
-            firsts += [head] * (len(keys) - before)
-        key = np.array(keys, np.int64)
-        return np.array(firsts, np.int64), key >> _BITS, key & _MASK, np.array(counts, np.int64)
+                own += container
+                n += container.values()
+            self.apart[head] = False
+            firsts.append(np.full(len(own), head, np.int64))
+            keys.append(np.array(own, np.int64))
+            counts.append(np.array(n, np.int64))
+        first, key, count = (np.concatenate(parts) for parts in (firsts, keys, counts))
+        return first, key >> _BITS, key & _MASK, count
 
 
 class _Words(dict):
@@ -140,8 +187,8 @@ class _Words(dict):
 class _Counting:
     """One worker's tries, a trie per language, with their common words."""
 
-    def __init__(self, entries: int, word_bytes: int) -> None:
-        self.entries, self.word_bytes = entries, word_bytes
+    def __init__(self, bounds: list[tuple[bytes, ...]], entries: int, word_bytes: int) -> None:
+        self.bounds, self.entries, self.word_bytes = bounds, entries, word_bytes
         self.words, self.tries = _Words(), {}
         self.most = 0  # entries there may be at most
 
@@ -172,138 +219,198 @@ class _Counting:
             chosen.setdefault(lang, []).append(head)
             held -= n
         self.most = held
-        names = pa.array([None, *list(self.words)[1:]], pa.binary())
-        rank = np.empty(len(names), np.int64)
-        rank[np.array(pc.sort_indices(names, null_placement="at_start"))] = np.arange(len(names))
+        listed = list(self.words)
+        listed[0] = b""  # no word sorts before all words
+        names = pa.array(listed, pa.binary())
+        order = np.array(pc.sort_indices(names))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         for lang, heads in chosen.items():
             *columns, counts = self.tries[lang].cut_off(heads)
-            key = rank[columns[0]] << (2 * _BITS) | rank[columns[1]] << _BITS | rank[columns[2]]
-            order = np.argsort(key)
-            run = [names.take(pa.array(column[order])) for column in columns]
-            run += [pa.array([lang]).take(pa.array(np.zeros(len(order), np.int64))), pa.array(counts[order])]
-            yield from _texts(pa.RecordBatch.from_arrays(run, ["w1", "w2", "w3", "lang", "n"]))
+            columns = [rank[column] for column in columns]
+            run = np.argsort(columns[0] << (2 * _BITS) | columns[1] << _BITS | columns[2])
+            yield from self._blocks(lang, names, order, [c[run] for c in columns], counts[run])
         if everything:
             self.words, self.tries, self.most = _Words(), {}, 0
 
+    def _blocks(self, lang, names, order, columns, counts) -> Iterator[pa.RecordBatch]:
+        """A sorted run, cut at the bounds of the prefix partitions; each block lists its own words."""
+        def key(at: int) -> tuple[bytes, ...]:
+            return tuple(names[int(order[column[at]])].as_py() for column in columns)
+
+        cuts = [0]
+        for bound in self.bounds:
+            cuts.append(bisect_left(range(len(counts)), bound, lo=cuts[-1], key=key))
+        cuts.append(len(counts))
+        for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if a == b:
+                continue
+            used, place = np.unique(np.concatenate([c[a:b] for c in columns]), return_inverse=True)
+            words = names.take(pa.array(order[used])).to_pylist()
+            numbers = [*np.split(place, LONGEST), counts[a:b]]
+            packed = [b"\n".join(words), *(column.astype("<i4").tobytes() for column in numbers)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([lang]), *(pa.array([x], pa.binary()) for x in packed)],
+                ["part", "lang", "words", "w1", "w2", "w3", "n"],
+            )
+
+
+_BLOCKS = "part INT, lang STRING, words BINARY, w1 BINARY, w2 BINARY, w3 BINARY, n BINARY"
+
 
-def _texts(run: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Words as text, in batches; words are whole UTF-8 characters, as all marks are ASCII."""
-    for part in sliced(iter([run]), rows):
-        arrays = [c.cast(pa.string()) if pa.types.is_binary(c.type) else c for c in part.columns]
-        yield pa.RecordBatch.from_arrays(arrays, part.schema.names)
+def _bytes(text: pa.Scalar) -> bytes:
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
-def _counted(entries: int, word_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own = _Counting(entries, word_bytes)
+def _counted(bounds, entries: int, word_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = _Counting(bounds.value, entries, word_bytes)
     for batch in sliced(batches):
         by_lang: defaultdict[str, list[np.ndarray]] = defaultdict(list)
-        number = own.words.__getitem__
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
-            listed = tokens(text.as_buffer().to_pybytes()) if text.is_valid else []
-            numbers = np.fromiter(map(number, listed), np.int64, len(listed))
+            listed = tokens(_bytes(text))
+            numbers = np.fromiter(map(own.words.__getitem__, listed), np.int64, len(listed))
             by_lang[lang] += [numbers, np.zeros(1, np.int64)]
             if own.full():  # a bound on bytes must hold within a batch, too
                 for name, parts in by_lang.items():
                     own.add(name, np.concatenate(parts))
                 by_lang.clear()
                 yield from own.spilled(everything=True)
-                number = own.words.__getitem__
         for name, parts in by_lang.items():
             own.add(name, np.concatenate(parts))
         yield from own.spilled(everything=False)
     yield from own.spilled(everything=True)
 
 
-def runs(docs: DataFrame, body: str = "text", lang: str = "lang",
-         entries: int = ENTRIES, word_bytes: int = WORD_BYTES) -> DataFrame:
-    """``(w1, w2, w3, lang, n)``: sorted runs of all tasks; ``w2`` and ``w3`` are null at a piece's end."""
+def _keys(every: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases of three words or less at every so many words of each text."""
+    mark = ENDS[:1]
+    for batch in sliced(batches):
+        found = []
+        for text in batch["text"]:
+            listed = tokens(_bytes(text)) + [mark, mark, mark]
+            for at in range(len(listed) % every, len(listed) - 3, every):
+                key = listed[at : at + LONGEST]
+                key = key[: key.index(mark)] if mark in key else key
+                if key:
+                    found.append(key + [b""] * (LONGEST - len(key)))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.binary()))], ["key"])
+
+
+def _bounds(rows: DataFrame, parts: int, n_docs: int) -> list[tuple[bytes, ...]]:
+    """Phrases that cut a sample of all phrases into ``parts`` stretches of about the same size.
+
+    The sample follows the number of partitions, not that of texts; it decides where phrases are
+    counted, never what is counted.
+    """
+    share = min(1.0, SAMPLE_DOCS * (parts + 10) / max(1, n_docs))
+    sample = rows.sample(share, seed=1).mapInArrow(partial(_keys, SAMPLE_STEP), "key ARRAY<BINARY>")
+    keys = sorted(tuple(bytes(word) for word in row["key"]) for row in sample.collect())
+    chosen = [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
+    return sorted(set(chosen))
+
+
+def blocks(
+    docs: DataFrame, body: str = "text", lang: str = "lang", entries: int = ENTRIES,
+    word_bytes: int = WORD_BYTES, part_words: int = PART_WORDS,
+) -> DataFrame:
+    """``(part, lang, words, w1, w2, w3, n)``: sorted runs of all tasks, in blocks by prefix partition.
+
+    ``words`` lists a block's words in order, one a line, the first being no word; the other
+    columns are little-endian 32-bit numbers, of words in that list and of counts.
+    """
+    spark = docs.sparkSession
     rows = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"),
         F.col(body).cast("string").alias("text"),
     )
-    return rows.mapInArrow(
-        partial(_counted, entries, word_bytes), "w1 STRING, w2 STRING, w3 STRING, lang STRING, n BIGINT"
-    )
+    n_docs, n_bytes = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, -(-(n_bytes or 0) // (6 * part_words)))  # a word takes about six bytes
+    bounds = spark.sparkContext.broadcast(_bounds(rows, parts, n_docs))
+    counted = rows.mapInArrow(partial(_counted, bounds, entries, word_bytes), _BLOCKS)
+    return counted.repartition(parts, "part")
 
 
-def _differs(column: pa.Array) -> np.ndarray:
-    """Whether each row but the first differs from the one before; nulls are equal."""
-    left, right = column.slice(1), column.slice(0, len(column) - 1)
-    same = pc.fill_null(pc.equal(left, right), False).to_numpy(zero_copy_only=False)
-    both = pc.and_(left.is_null(), right.is_null()).to_numpy(zero_copy_only=False)
-    return ~(same | both)
+class _Runs:
+    """The sorted runs of one prefix partition and language, merged."""
 
-
-class _Level:
-    """Running sum of the phrases of one length while a partition's sorted rows pass.
-
-    What is closed is given away if it reaches ``least``, or if it is the partition's first phrase,
-    which may have begun next door. The open one at the end may go on next door.
-    """
-
-    def __init__(self, size: int, least: int) -> None:
-        self.size, self.least, self.first, self.open = size, least, True, None
-
-    def step(self, part: pa.RecordBatch, new: np.ndarray) -> list[tuple]:
-        """Phrases closed by this batch; ``new`` says at which rows one begins."""
-        starts = np.unique(np.append(0, np.flatnonzero(new)))
-        sums = np.add.reduceat(part["n"].to_numpy(), starts)
-        out = []
-        if self.open is not None and not new[0]:
-            sums[0] += self.open[-1]
-        elif self.open is not None:
-            out = [self.open] if self.first or self.open[-1] >= self.least else []
-            self.first = False
-        given = sums[:-1] >= self.least
-        given[:1] |= self.first
-        self.first = self.first and len(sums) == 1
-        chosen = np.flatnonzero(given)
-        out += self._named(part.take(pa.array(starts[chosen])), sums[chosen])
-        self.open = self._named(part.slice(int(starts[-1]), 1), sums[-1:])[0]
-        return out
-
-    def _named(self, rows: pa.RecordBatch, sums: np.ndarray) -> list[tuple]:
-        words = [rows[f"w{i + 1}"].to_pylist() for i in range(self.size)]
-        return list(zip(rows["lang"].to_pylist(), *words, sums.tolist(), strict=True))
+    def __init__(self) -> None:
+        self.words: list[bytes] = []
+        self.columns: list[list[np.ndarray]] = [[], [], []]
+        self.counts: list[np.ndarray] = []
+
+    def add(self, words: bytes, columns: list[bytes], counts: bytes) -> None:
+        base = len(self.words)
+        self.words += words.split(b"\n")
+        for kept, column in zip(self.columns, columns, strict=True):
+            kept.append(np.frombuffer(column, "<i4").astype(np.int64) + base)
+        self.counts.append(np.frombuffer(counts, "<i4").astype(np.int64))
+
+    def sums(self, least: int) -> Iterator[tuple[str | None, int, int]]:
+        """``(phrase, size, n)`` from ``least`` on and at both ends, where phrases may go on next
+        door; and the number of all words, as a phrase of size 0."""
+        coded = pa.array(self.words, pa.binary()).dictionary_encode()
+        names = coded.dictionary
+        order = np.array(pc.sort_indices(names))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        place = rank[coded.indices.to_numpy()]
+        w = [place[np.concatenate(column)] for column in self.columns]
+        n = np.concatenate(self.counts)
+        bits = max(1, int(len(names) - 1).bit_length())
+        if 3 * bits <= 62:
+            run = np.argsort(w[0] << 2 * bits | w[1] << bits | w[2], kind="stable")  # merges runs
+        else:
+            run = np.lexsort(w[::-1])
+        w, n = [column[run] for column in w], n[run]
+        yield None, 0, int(n.sum())
+        new = np.zeros(len(n), bool)
+        empty = names.index(b"").as_py()
+        none = int(rank[empty]) if empty >= 0 else -1
+        for size in range(1, LONGEST + 1):
+            new = new | (np.diff(w[size - 1], prepend=-1) != 0)
+            starts = np.flatnonzero(new)
+            total = np.add.reduceat(n, starts)
+            wanted = total >= least
+            wanted[[0, -1]] = True
+            for at, count in zip(starts[wanted].tolist(), total[wanted].tolist(), strict=True):
+                numbers = [int(w[i][at]) for i in range(size)]
+                if none not in numbers:
+                    words = [names[int(order[k])].as_py().decode() for k in numbers]
+                    yield " ".join(words), size, count
 
 
 _SUMS = "lang STRING, phrase STRING, size INT, n BIGINT"
 
 
 def _merged(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of sorted rows: whole ones from ``least`` on, and those at the partition's ends."""
-    levels = [_Level(size, least) for size in (1, 2, 3)]
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        joined = batch if last is None else pa.concat_batches([last, batch])
-        new, out = _differs(joined["w1"]) | _differs(joined["lang"]), []
-        for level in levels:
-            if level.size > 1:
-                new = new | _differs(joined[f"w{level.size}"])
-            out += level.step(batch, new if last is not None else np.append(True, new))
-        last = batch.slice(batch.num_rows - 1, 1)
-        yield _sums(out)
-    yield _sums([level.open for level in levels if level.open is not None])
-
-
-def _sums(items: list[tuple]) -> pa.RecordBatch:
-    whole = [(lang, " ".join(words), len(words), n) for lang, *words, n in items if None not in words]
-    columns = list(zip(*whole, strict=True)) or [[], [], [], []]
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["lang", "phrase", "size", "n"]
-    )
+    """Blocks in the order of their partitions, one partition and language at a time."""
+    now, runs = None, _Runs()
 
+    def closed() -> pa.RecordBatch:
+        found = [(now[1], *item) for item in runs.sums(least)]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "size", "n"])
 
-def frequent(counted: DataFrame, least: int) -> DataFrame:
-    """``(lang, phrase, size, n)`` of all phrases found at least ``least`` times."""
-    order = ["w1", "lang", "w2", "w3"]
-    merged = counted.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-        partial(_merged, least), _SUMS
+    for batch in batches:
+        for i in range(batch.num_rows):
+            part, lang, words, *columns, counts = (batch[c][i] for c in batch.schema.names)
+            if (key := (part.as_py(), lang.as_py())) != now:
+                if now is not None:
+                    yield closed()
+                now, runs = key, _Runs()
+            runs.add(_bytes(words), [_bytes(c) for c in columns], _bytes(counts))
+    if now is not None:
+        yield closed()
+
+
+def merged(counted: DataFrame, least: int) -> DataFrame:
+    """``(lang, phrase, size, n)``: phrases found at least ``least`` times; of size 0, all words."""
+    sums = counted.sortWithinPartitions("part", "lang").mapInArrow(partial(_merged, least), _SUMS)
+    return sums.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(
+        (F.col("n") >= least) | (F.col("size") == 0)
     )
-    return merged.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def _with_counts(parts: DataFrame, known: DataFrame) -> DataFrame:
@@ -321,6 +428,7 @@ def _with_counts(parts: DataFrame, known: DataFrame) -> DataFrame:
 def collocations(
     docs: DataFrame, body: str = "text", lang: str = "lang", least: int = 10, share: int = 50,
     best: int = 2000, entries: int = ENTRIES, word_bytes: int = WORD_BYTES,
+    part_words: int = PART_WORDS,
 ) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: each language's ``best`` phrases of 2 or 3 words.
 
@@ -329,9 +437,9 @@ def collocations(
     ``a * a / (l * r)``, rounded down. A candidate inside a longer one that has ``share`` percent of
     its count is left out.
     """
-    counted = cut(runs(docs, body, lang, entries, word_bytes))
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    known = cut(frequent(counted, least))
+    counts = cut(merged(blocks(docs, body, lang, entries, word_bytes, part_words), least))
+    totals = counts.filter("size = 0").select("lang", F.col("n").alias("total"))
+    known = counts.filter("size > 0")
     candidates = known.filter("size > 1").withColumnRenamed("n", "a")
 
     words = F.split("phrase", " ")

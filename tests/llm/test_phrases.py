@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from corpusward.llm import phrases
@@ -75,18 +76,18 @@ def test_spills_change_nothing(spark, monkeypatch, entries, word_bytes):
 
 
 def test_containers_burst():
-    trie, plain = phrases.HatTrie(burst=3), phrases.HatTrie(burst=10**9)
-    rng = random.Random(3)
-    import numpy as np
-
-    for _ in range(30):
-        w = np.array([[rng.randint(1, 4), rng.randint(0, 3), rng.randint(0, 9)] for _ in range(50)])
-        trie.add(*w.T)
-        plain.add(*w.T)
-    assert trie.nodes and not plain.nodes
-    assert trie.sizes() == plain.sizes()
+    trie, plain = phrases.HatTrie(burst=16), phrases.HatTrie(burst=10**6)
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        w = np.stack([rng.integers(1, 5, 60), rng.integers(0, 4, 60), rng.integers(0, 40, 60)])
+        w[0, :10] = rng.integers(5, 500, 10)  # rare first words stay together
+        trie.add(*w)
+        plain.add(*w)
+    assert trie.nodes and trie.shared and not plain.nodes and not plain.flat
+    assert sum(trie.sizes().values()) == sum(plain.sizes().values())
     rows = [sorted(zip(*(c.tolist() for c in t.cut_off(list(t.sizes()))), strict=True)) for t in (trie, plain)]
-    assert rows[0] == rows[1] and sum(r[3] for r in rows[0]) == 1500
+    assert rows[0] == rows[1] and sum(r[3] for r in rows[0]) == 2400
+    assert not any(t.flat or t.nodes or t.shared for t in (trie, plain))
 
 
 def test_hot_prefix_over_many_partitions(spark):
@@ -95,6 +96,7 @@ def test_hot_prefix_over_many_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "13")
     try:
         assert found(spark, rows, parts=6, least=4) == brute(rows, least=4)
+        assert found(spark, rows, parts=6, least=4, part_words=100, entries=700) == brute(rows, least=4)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
