@@ -28,14 +28,14 @@ class Memory(dict):
         self.make, self.bound, self.old = make, bound, {}
 
     def __missing__(self, key):
-        if isinstance(key, str) and len(key) > LONGEST:
-            return self.make(key)
-        if len(self) >= self.bound:
-            self.old = dict(self)
-            self.clear()
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if isinstance(key, str) and len(key) > LONGEST:
+                return value
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
         self[key] = value
         return value
 

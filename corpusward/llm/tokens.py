@@ -40,7 +40,7 @@ from tokenizers import Tokenizer
 from corpusward.llm.memory import Kept, Memory, sliced
 
 # Units that a generation of a worker's memory holds.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 WRITER = {
     "compression": "zstd",
     "parquet.writer.version": "v2",
@@ -100,8 +100,8 @@ class Encoder:
 
     def _part(self, mapped: str) -> bytes:
         """Ids of one pre-token, given in byte characters."""
-        packed = self.packed
-        return b"".join([packed[token.id] for token in self.tokenize(mapped)])
+        packed, tokens = self.packed, self.tokenize(mapped)
+        return packed[tokens[0].id] if len(tokens) == 1 else b"".join([packed[t.id] for t in tokens])
 
     def _mapped(self, part: str) -> bytes:
         if part.isascii():
@@ -138,7 +138,12 @@ class Encoder:
 
     def _word(self, text: str) -> bytes:
         if text.isalpha():
-            return self._part(self.blank + text) if text.isascii() else self._mapped(f" {text}")
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(self.names)
+            return self._part(self.blank + text)
+        word = text.rstrip(_MARKS)
+        if word.isalpha():
+            return self._word(word) + self.parts[text[len(word) :]]
         return self._unit(text if text[:1] == "\n" else f" {text}")
 
 
