@@ -5,20 +5,28 @@ threshold; a dropped chunk suppresses nothing. Chunks are ordered by key.
 
 1. Chunks with the same word set collapse to the earliest one. That loses nothing: later copies
    are duplicates of it, or of whatever it is a duplicate of.
-2. Candidates come from blocks. The default blocks are lossless: if two sets differ in at most
-   ``d`` words and all words are spread by hash over ``d + 2`` parts, at least two parts are equal
-   in both. ``blocks_from_bands`` gives classic MinHash bands instead, which miss some pairs.
-3. Blocks are worked off in rounds. In each round the first few members of a block are compared
-   with its other members, so a block of n copies costs a small multiple of n, never n * n; the
-   copies found leave all their blocks. Every candidate is verified on its whole word set.
+2. Candidates come from blocks. The default blocks are lossless prefixes: with all words in one
+   order, two sets at or above the threshold share one of their first few words, about a tenth of
+   the set. The order is by rarity, so blocks are the rare words that two texts have in common, and
+   texts made from one template meet only where they really agree. The place of a shared word bounds
+   how many words can be shared at all; pairs below the least overlap are never formed.
+   ``blocks_from_parts`` (hash parts, lossless too) and ``blocks_from_bands`` (classic MinHash
+   bands, which miss some pairs) are options.
+3. Blocks are worked off in rounds. In each round the first members of a block are compared with its
+   other members, so a block of n copies costs a small multiple of n, never n * n; the copies found
+   leave all their blocks. Each round takes four times as many first members, so even a block of n
+   different sets is done after log n rounds. Every candidate is verified on its whole word set.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
-from functools import reduce
+from functools import partial, reduce
 from math import floor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,7 +36,11 @@ from corpusward.operators.skew import join_hot
 from corpusward.session import cut
 
 THRESHOLD = 0.9
+# First members of a block in the first round, and how much that number grows in each.
 LEADERS = 8
+GROWTH = 4
+# Words whose frequency is known when words are ordered; the others count as rare.
+FREQUENT = 50_000
 HOT_SHARE = 0.001
 # Signature length, and the bands and rows the 0.9 threshold gives for it.
 PERMUTATIONS = 128
@@ -128,6 +140,75 @@ def blocks_from_parts(sets: DataFrame, threshold: float = THRESHOLD) -> DataFram
     )
 
 
+def word_order(sets: DataFrame, frequent: int = FREQUENT) -> list[int]:
+    """The most frequent words, rarest first; at most ``frequent`` of them, however many there are."""
+    counted = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    top = counted.filter("n > 1").orderBy(F.desc("n"), "word").limit(frequent).collect()
+    return [row["word"] for row in reversed(top)]
+
+
+def _prefixes(
+    order: np.ndarray, place: np.ndarray, t: Fraction, batches: Iterator[pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
+    """The first words of each set in the order: words not listed by their hash, then listed ones."""
+    for batch in batches:
+        words, keys, n = batch["words"], batch["key"].to_numpy(), batch["n"].to_numpy().astype(np.int64)
+        flat = words.flatten().to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        at = np.minimum(np.searchsorted(order, flat), len(order) - 1) if len(order) else None
+        rank = np.where(order[at] == flat, place[at], -1) if len(order) else np.full(len(flat), -1)
+        sorted_at = np.lexsort([flat, rank, row])
+        pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        head = pos < (n - -(-t.numerator * n // t.denominator) + 1)[row]
+        rows = row[head]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(flat[sorted_at][head]), pa.array(keys[rows]), pa.array(n[rows].astype(np.int32)),
+             pa.array(pos[head].astype(np.int32))],
+            ["block", "key", "n", "pos"],
+        )
+
+
+def blocks_from_prefixes(
+    sets: DataFrame, threshold: float = THRESHOLD, order: list[int] | None = None
+) -> DataFrame:
+    """``(block, key, n, pos)``: a block per word of each set's prefix, see the module text.
+
+    ``order`` lists words that come last, in order; any list is lossless, as long as all sets that
+    are to meet use the same one. Without it the sets' own frequent words are taken.
+    """
+    t = Fraction(str(threshold))
+    listed = np.array(word_order(sets) if order is None else order, np.int64)
+    by_word = np.argsort(listed)
+    given = sets.sparkSession.sparkContext.broadcast((listed[by_word], by_word))
+    rows = sets.filter(F.col("n") >= floor(t / (1 - t))).select("key", "words", "n")
+    return rows.mapInArrow(
+        lambda batches: _prefixes(*given.value, t, batches),
+        f"block BIGINT, key {sets.schema['key'].dataType.simpleString()}, n INT, pos INT",
+    )
+
+
+_LOSSLESS = (blocks_from_prefixes, blocks_from_parts)
+
+
+def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of block members whose sizes, and places of the shared word, allow the threshold."""
+    pairs = pairs.filter(_size_ok(F.col("n"), F.col("__n"), threshold))
+    if "pos" not in pairs.columns:
+        return pairs
+    t = Fraction(str(threshold))
+    rest = F.least(F.col("n") - F.col("pos"), F.col("__n") - F.col("__pos")).cast("bigint")
+    return pairs.filter(
+        t.numerator * (F.col("n") + F.col("__n")) <= (t.numerator + t.denominator) * rest
+    )
+
+
+def _as_first(member: DataFrame) -> DataFrame:
+    """Block members as the first of a pair."""
+    names = {"key": "first", "n": "__n", "pos": "__pos"}
+    kept = [c for c in ("block", "key", "n", "pos") if c in member.columns]
+    return member.select(*[F.col(c).alias(names.get(c, c)) for c in kept])
+
+
 def _size_ok(a: Column, b: Column, threshold: float) -> Column:
     return F.least(a, b) >= F.floor(F.greatest(a, b) * threshold)
 
@@ -176,21 +257,17 @@ def near_dropped(
     busy = cut(sets.join(member.select("key").distinct(), "key", "left_semi").select("key", "words"))
     edges: DataFrame | None = None
     dropped: list[DataFrame] = []
+    first_members = LEADERS
 
     while True:
         members_left = not member.isEmpty()
         if members_left:
             rank = F.row_number().over(W.partitionBy("block").orderBy("key"))
-            leaders = cut(member.withColumn("__r", rank).filter(F.col("__r") <= LEADERS).drop("__r"))
-            pairs = (
-                member.join(
-                    leaders.select("block", F.col("key").alias("first"), F.col("n").alias("__n")),
-                    "block",
-                )
-                .filter(F.col("first") < F.col("key"))
-            )
+            leaders = cut(member.withColumn("__r", rank).filter(F.col("__r") <= first_members).drop("__r"))
+            first_members *= GROWTH
+            pairs = member.join(_as_first(leaders), "block").filter(F.col("first") < F.col("key"))
             if verify:
-                pairs = pairs.filter(_size_ok(F.col("n"), F.col("__n"), threshold))
+                pairs = _possible(pairs, threshold)
             found = pairs.select("first", F.col("key").alias("later")).distinct()
             if verify:
                 found = _verify(cut(found), busy, busy, threshold).select("first", "later")
@@ -239,7 +316,7 @@ def _decide(edges: DataFrame, member: DataFrame) -> tuple[DataFrame, DataFrame |
 
 def keep_first(
     chunks: DataFrame, key: str = "chunk_key", body: str = "text", threshold: float = THRESHOLD,
-    blocks=blocks_from_parts, verify: bool = True,
+    blocks=blocks_from_prefixes, verify: bool = True,
 ) -> DataFrame:
     """``chunks`` without near-duplicates of an earlier kept chunk.
 
@@ -256,20 +333,24 @@ def _split(
     """Keys kept, and the distinct word sets of all earliest copies."""
     sets = cut(sets)
     firsts = sets.join(exact_first(sets), "key", "left_semi")
-    lost = near_dropped(firsts, blocks(firsts), threshold, verify)
+    made = blocks(firsts, threshold) if blocks in _LOSSLESS else blocks(firsts)
+    lost = near_dropped(firsts, made, threshold, verify)
     return cut(firsts.select("key").join(lost, "key", "left_anti")), sets
 
 
 def matches(
-    fresh: DataFrame, known: DataFrame, threshold: float = THRESHOLD, blocks=blocks_from_parts,
+    fresh: DataFrame, known: DataFrame, threshold: float = THRESHOLD, blocks=None,
     known_blocks: DataFrame | None = None,
 ) -> DataFrame:
     """``(key, kept_key, jaccard)``: the smallest known chunk each fresh one duplicates.
 
     ``fresh`` and ``known`` are word sets; ``known`` ones must be duplicates of none among
-    themselves, so few of them share a block.
+    themselves, so few of them share a block. ``blocks`` and ``known_blocks`` must agree on the order
+    of words, if they use one; by default it is made from the fresh sets.
     """
     fresh = cut(fresh)
+    if blocks is None:
+        blocks = partial(blocks_from_prefixes, threshold=threshold, order=word_order(fresh))
     if known_blocks is None:
         known_blocks = blocks(known)
     known_small = known.select("print", F.col("key").alias("kept_key"))
@@ -286,11 +367,7 @@ def matches(
 
     distinct = fresh.join(exact_first(fresh), "key", "left_semi")
     pairs = (
-        blocks(distinct).join(
-            known_blocks.select("block", F.col("key").alias("first"), F.col("n").alias("__n")),
-            "block",
-        )
-        .filter(_size_ok(F.col("n"), F.col("__n"), threshold))
+        _possible(blocks(distinct).join(_as_first(known_blocks), "block"), threshold)
         .select("first", F.col("key").alias("later")).distinct()
     )
     near = _verify(cut(pairs), known, distinct, threshold)
@@ -316,11 +393,14 @@ def matches(
 
 def duplicate_matches(
     chunks: DataFrame, key: str = "chunk_key", body: str = "text", threshold: float = THRESHOLD,
-    blocks=blocks_from_parts,
+    blocks=blocks_from_prefixes,
 ) -> DataFrame:
     """``(key, kept_key, jaccard)`` for every dropped chunk: the earliest kept chunk it copies."""
     kept, sets = _split(word_sets(chunks, key, body), threshold, blocks)
     known = sets.join(kept, "key", "left_semi")
     fresh = sets.join(kept, "key", "left_anti")
+    if blocks in _LOSSLESS:
+        order = {"order": word_order(sets)} if blocks is blocks_from_prefixes else {}
+        blocks = partial(blocks, threshold=threshold, **order)
     found = matches(fresh, known, threshold, blocks)
     return found.filter(F.col("kept_key") < F.col("key"))

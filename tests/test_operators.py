@@ -120,8 +120,46 @@ def test_keep_first_equals_brute_force(spark, seed):
     assert found == match
 
 
-def test_parts_meet_every_pair(spark):
-    """No pair at or above the threshold may miss a common block."""
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_other_thresholds(spark, threshold):
+    texts = corpus(4, 150)
+    df = spark.createDataFrame(list(texts.items()), "chunk_key long, text string")
+    kept, match = greedy(texts, threshold)
+    assert sorted(r[0] for r in dedup.keep_first(df, threshold=threshold).select("chunk_key").collect()) == kept
+    found = {r["key"]: r["kept_key"] for r in dedup.duplicate_matches(df, threshold=threshold).collect()}
+    assert found == match
+
+
+def _jobs(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_templates_cost_no_rounds(spark):
+    """Different texts of one template: as many jobs for 8 of them as for 512, and no pairs formed."""
+    template, counts = [f"t{i}" for i in range(60)], []
+    for n in (8, 64, 512):
+        texts = {k: " ".join(template + [f"v{k}_{i}" for i in range(20)]) for k in range(n)}
+        texts[n] = texts[0] + " more"
+        df = spark.createDataFrame(list(texts.items()), "chunk_key long, text string")
+        kept, jobs = _jobs(spark, f"templates{n}", lambda: dedup.keep_first(df).count())  # noqa: B023
+        assert kept == n
+        counts.append(jobs)
+    assert max(counts) - min(counts) <= 3, counts  # adaptive execution may add a job
+
+
+@pytest.mark.parametrize("frequent", [0, 40, 50_000])
+def test_blocks_meet_every_pair(spark, frequent):
+    """No pair at or above the threshold may miss a common block, whatever order words have."""
+    made = lambda sets: dedup.blocks_from_prefixes(sets, order=dedup.word_order(sets, frequent) if frequent else [])
+    for blocks_of in (made, dedup.blocks_from_parts):
+        _meet(spark, blocks_of)
+
+
+def _meet(spark, blocks_of):
     rnd = random.Random(5)
     pairs = []
     for key in range(0, 600, 2):
@@ -137,7 +175,7 @@ def test_parts_meet_every_pair(spark):
     data = [(k, " ".join(map(str, a))) for k, a, _ in pairs] + [(k + 1, " ".join(map(str, b))) for k, _, b in pairs]
     sets = dedup.word_sets(spark.createDataFrame(data, "chunk_key long, text string"))
     blocks = {}
-    for r in dedup.blocks_from_parts(sets).collect():
+    for r in blocks_of(sets).collect():
         blocks.setdefault(r["key"], set()).add(r["block"])
     close = [k for k, a, b in pairs if len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.9]
     assert len(close) > 100
