@@ -190,7 +190,7 @@ def blocks_from_prefixes(
 _LOSSLESS = (blocks_from_prefixes, blocks_from_parts)
 
 
-def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
+def possible(pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs of block members whose sizes, and places of the shared word, allow the threshold."""
     pairs = pairs.filter(_size_ok(F.col("n"), F.col("__n"), threshold))
     if "pos" not in pairs.columns:
@@ -202,7 +202,7 @@ def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _as_first(member: DataFrame) -> DataFrame:
+def first_of_pair(member: DataFrame) -> DataFrame:
     """Block members as the first of a pair."""
     names = {"key": "first", "n": "__n", "pos": "__pos"}
     kept = [c for c in ("block", "key", "n", "pos") if c in member.columns]
@@ -213,7 +213,7 @@ def _size_ok(a: Column, b: Column, threshold: float) -> Column:
     return F.least(a, b) >= F.floor(F.greatest(a, b) * threshold)
 
 
-def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def verify_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """``(first, later, jaccard)`` of the pairs at or above the threshold.
 
     ``left`` and ``right`` are ``(key, words)`` for the two sides. A first chunk with very many
@@ -265,12 +265,12 @@ def near_dropped(
             rank = F.row_number().over(W.partitionBy("block").orderBy("key"))
             leaders = cut(member.withColumn("__r", rank).filter(F.col("__r") <= first_members).drop("__r"))
             first_members *= GROWTH
-            pairs = member.join(_as_first(leaders), "block").filter(F.col("first") < F.col("key"))
+            pairs = member.join(first_of_pair(leaders), "block").filter(F.col("first") < F.col("key"))
             if verify:
-                pairs = _possible(pairs, threshold)
+                pairs = possible(pairs, threshold)
             found = pairs.select("first", F.col("key").alias("later")).distinct()
             if verify:
-                found = _verify(cut(found), busy, busy, threshold).select("first", "later")
+                found = verify_pairs(cut(found), busy, busy, threshold).select("first", "later")
             edges = cut(found if edges is None else edges.unionByName(found).distinct())
             member = member.join(leaders, ["block", "key"], "left_anti")
             member = cut(_shared(member))
@@ -338,6 +338,21 @@ def _split(
     return cut(firsts.select("key").join(lost, "key", "left_anti")), sets
 
 
+def to_copies(fresh: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """``(key, kept_key, jaccard)`` for all fresh chunks, from what was found for one chunk
+    ``later`` of each word set."""
+    copies = fresh.groupBy("print").agg(F.count("*").alias("__n"))
+    total = fresh.select(F.count("*")).scalar()
+    by_print = (
+        found.join(distinct.select("print", F.col("key").alias("later")), "later").drop("later")
+        .join(copies, "print")
+        .withColumn("__hot", F.col("__n") >= F.greatest(total * HOT_SHARE, F.lit(1000))).drop("__n")
+    )
+    return join_hot(
+        fresh.select("key", "print"), by_print, "print", F.col("__hot"), F.col("key")
+    ).select("key", "kept_key", "jaccard")
+
+
 def matches(
     fresh: DataFrame, known: DataFrame, threshold: float = THRESHOLD, blocks=None,
     known_blocks: DataFrame | None = None,
@@ -367,23 +382,12 @@ def matches(
 
     distinct = fresh.join(exact_first(fresh), "key", "left_semi")
     pairs = (
-        _possible(blocks(distinct).join(_as_first(known_blocks), "block"), threshold)
+        possible(blocks(distinct).join(first_of_pair(known_blocks), "block"), threshold)
         .select("first", F.col("key").alias("later")).distinct()
     )
-    near = _verify(cut(pairs), known, distinct, threshold)
-    # copies of a fresh word set share its matches
-    owners = distinct.select("print", F.col("key").alias("later"))
-    near_by_print = (
-        near.join(owners, "later").groupBy("print")
-        .agg(F.min(F.struct(F.col("first").alias("kept_key"), "jaccard")).alias("m"))
-        .select("print", "m.kept_key", "m.jaccard")
-        .join(frequent, "print")
-        .withColumn("__hot", F.col("__n") >= F.greatest(total * HOT_SHARE, F.lit(1000)))
-    )
-    spread_out = join_hot(
-        fresh.select("key", "print"), near_by_print.drop("__n"), "print",
-        F.col("__hot"), F.col("key"),
-    ).select("key", "kept_key", "jaccard")
+    near = verify_pairs(cut(pairs), known, distinct, threshold)
+    best = near.groupBy("later").agg(F.min(F.struct(F.col("first").alias("kept_key"), "jaccard")).alias("m"))
+    spread_out = to_copies(fresh, distinct, best.select("later", "m.kept_key", "m.jaccard"))
     both = same.unionByName(spread_out).filter(F.col("key") != F.col("kept_key"))
     return (
         both.groupBy("key").agg(F.min(F.struct("kept_key", "jaccard")).alias("m"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpusward.operators import admin, dedup
+from corpusward.operators import admin, dedup, fingerprints
 from corpusward.operators.cache import TTL_SECONDS
 
 
@@ -81,28 +81,17 @@ def dedup_batch(
 ) -> None:
     """Drop chunks that duplicate a chunk kept in an earlier batch, then within the batch.
 
-    ``state`` holds the word sets and blocks of kept chunks per batch. They are written after the
-    chunks: a batch that dies half way is repeated against the same earlier state.
+    ``state`` holds the fingerprints of kept chunks per batch, written after the chunks: a batch
+    that dies half way is repeated against the same earlier state. Only the shards of the state that
+    the batch hits are read.
     """
-    fresh = dedup.word_sets(batch, key, body)
-    earlier = _earlier(spark, f"{state}/sets", batch_id)
-    if earlier is not None:
-        blocks = _earlier(spark, f"{state}/blocks", batch_id)
-        known = dedup.matches(fresh, earlier, threshold, known_blocks=blocks).select("key")
-        batch = batch.join(known.withColumnRenamed("key", key), key, "left_anti")
-    kept = dedup.keep_first(batch, key, body, threshold)
-    write_batch(kept, out, batch_id)
+    if batch_id:
+        fresh = dedup.word_sets(batch, key, body)
+        known = fingerprints.matches(spark, fresh, state, F.col("batch_id") < batch_id, threshold)
+        batch = batch.join(known.select(F.col("key").alias(key)), key, "left_anti")
+    write_batch(dedup.keep_first(batch, key, body, threshold), out, batch_id)
     stored = spark.read.parquet(f"{out}/batch_id={batch_id}")
-    kept_sets = dedup.word_sets(stored, key, body)
-    write_batch(dedup.blocks_from_parts(kept_sets, threshold), f"{state}/blocks", batch_id)
-    write_batch(kept_sets, f"{state}/sets", batch_id)
-
-
-def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """State of batches before this one, pruned by partition; None for the first batch."""
-    if batch_id == 0:
-        return None
-    return spark.read.parquet(path).filter(F.col("batch_id") < batch_id).drop("batch_id")
+    fingerprints.remember(spark, dedup.word_sets(stored, key, body), state, batch_id, threshold)
 
 
 def dedup_stream(

@@ -216,3 +216,25 @@ def test_stream_rate_report(spark, tmp_path):
     df.write.parquet(inbox)
     jobs.run_to_table(jobs.rate_report(jobs.table_stream(spark, inbox, df.schema), 30), out, offsets).awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(out).collect()] == [(start, "ann", 31)]
+
+
+def test_stream_dedup_reads_only_the_shards_it_hits(spark, tmp_path):
+    from corpusward.operators import dedup, fingerprints
+
+    state = str(tmp_path / "state")
+    texts = [(i, " ".join(f"w{i}_{j}" for j in range(30))) for i in range(300)]
+    sets = lambda rows: dedup.word_sets(spark.createDataFrame(rows, "chunk_key long, text string"))
+    fingerprints.remember(spark, sets(texts), state, 0)
+    fresh = sets([(1000, texts[7][1] + " more"), (1001, texts[9][1]), (1002, "quite new"), (1003, texts[9][1])])
+    earlier = F.col("batch_id") < 1
+    got = fingerprints.matches(spark, fresh, state, earlier).collect()
+    assert sorted((r.key, r.kept_key) for r in got) == [(1000, 7), (1001, 9), (1003, 9)]
+    gone = spark.createDataFrame([(9,)], "key long")
+    assert [r.key for r in fingerprints.matches(spark, fresh, state, earlier, forgotten=gone).collect()] == [1000]
+    order = fingerprints.word_order(spark, state, fresh)
+    hit = fingerprints._shards_of(fingerprints.blocks(fresh, 0.9, order), "block")
+    assert len(hit) < fingerprints.SHARDS // 2
+    read = fingerprints._stored(spark, f"{state}/blocks", fingerprints.BLOCKS, earlier, hit)
+    shards = {f.split("shard=")[1].split("/")[0] for f in read.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+    assert shards <= set(map(str, hit))
+    assert "PartitionFilters" in read._jdf.queryExecution().toString() and "shard" in read._jdf.queryExecution().toString()
