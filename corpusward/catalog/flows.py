@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusward import hooks
+from corpusward.functions import text
 from corpusward.catalog import tables as t
 from corpusward.catalog.retrieval import _GREEDY
 from corpusward.operators import admin, reports
-from corpusward.plans import ingest
+from corpusward.catalog.scalars import _redacted_sql
+from corpusward.plans import corpus, ingest
 from corpusward.session import scratch_path
 from corpusward.sources import readers, sinks
 from corpusward.streaming import jobs
@@ -139,7 +142,7 @@ def _done(q):
 
 
 @query(f"""WITH {t.MARKDOWN}, {t.SECTIONS} SELECT filename, count(*) AS n_chunks, sum(chunk_index)::BIGINT AS indexes FROM sections GROUP BY filename""")
-def stream_ingest(spark, sf):
+def stream_sections(spark, sf):
     out, checkpoint = scratch_path(spark, "ingested"), scratch_path(spark, "offsets")
 
     def chunks(batch):
@@ -153,6 +156,83 @@ def stream_ingest(spark, sf):
     )
 
 
+def _deliveries(spark, sf):
+    """The documents as files of all four kinds in two deliveries; every tenth comes twice."""
+    n, body = C("doc_id"), F.replace(F.coalesce("text", F.lit("")), F.lit("\f"), F.lit(" "))
+    message = F.to_json(F.array(F.struct(C("lang").alias("user"), body.alias("text"), F.lit("1690890000").alias("ts"))))
+    line = F.concat(F.lit("id,source,lang\n"), F.concat_ws(",", n.cast("string"), "source", "lang"))
+    d = t.read(spark, sf, "documents").select("doc_id", "text", "source", "lang").join(
+        t.markdown(spark, sf).select("doc_id", C("text").alias("marked")), "doc_id"
+    )
+    files = d.select(
+        "doc_id", t._case(n % 4, {0: F.lit("confluence"), 1: F.lit("slack"), 2: F.lit("excel")}, F.lit("pdfs")).alias("folder"),
+        F.when(n % 4 == 0, C("marked")).when(n % 12 == 1, F.lit('[{"user": ')).when(n % 4 == 1, message)
+        .when(n % 4 == 2, line).otherwise(body).alias("value"),
+    )
+    middle = files.select(F.max("doc_id") / 2).scalar()
+    late = C("doc_id") >= middle
+    second = files.filter(late).withColumn("d", F.lit(2)).unionByName(files.filter("doc_id % 10 = 0").withColumn("d", F.lit(3)))
+    for part in (files.filter(~late).withColumn("d", F.lit(1)), second):
+        yield part.select(
+            F.concat(F.lit("/d"), "d", F.lit("/"), "folder", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"),
+            "value", F.timestamp_seconds(F.lit(1700000000) + C("d") * 60).alias("modified"),
+        )
+
+
+_CORPUS = f"""{t.MARKDOWN}, {t.SECTIONS},
+texts AS (
+  SELECT doc_id, '' AS head, section AS text FROM sections WHERE doc_id % 4 = 0
+  UNION ALL SELECT doc_id, '[Slack Conversation 0]' || chr(10), 'User ' || lang || ': ' || replace(coalesce(text, ''), chr(12), ' ')
+  FROM documents WHERE doc_id % 4 = 1 AND doc_id % 12 <> 1
+  UNION ALL SELECT doc_id, 'Table: ' || doc_id || '.txt - Chunk 0' || chr(10) || chr(10),
+    'id source lang' || chr(10) || doc_id || ' ' || source || ' ' || lang FROM documents WHERE doc_id % 4 = 2
+  UNION ALL SELECT doc_id, 'Document: ' || doc_id || '.txt - Part 1' || chr(10) || chr(10), replace(text, chr(12), ' ')
+  FROM documents WHERE doc_id % 4 = 3 AND {t.sql_strip("replace(coalesce(text, ''), chr(12), ' ')")} <> ''),
+chunks AS (SELECT doc_id, list_sort(list_distinct({t.sql_words("head || redacted")})) AS words
+  FROM (SELECT doc_id, head, {_redacted_sql('texts')} AS redacted FROM texts)),
+active AS (SELECT words FROM chunks GROUP BY words),
+found AS (SELECT DISTINCT doc_id FROM chunks)
+SELECT 'documents' AS name, (SELECT count(*) + count(*) FILTER (doc_id % 10 = 0) FROM found) AS n_rows, 0::BIGINT AS n_words
+UNION ALL SELECT 'extracted', (SELECT count(*) + count(*) FILTER (doc_id % 10 = 0) FROM chunks), 0
+UNION ALL SELECT 'chunks', count(*), coalesce(sum(len(words)), 0)::BIGINT FROM active
+UNION ALL SELECT 'index', count(*), coalesce(sum(len(words)), 0)::BIGINT FROM active
+UNION ALL SELECT 'rejects', (SELECT count(*) + count(*) FILTER (doc_id % 10 = 0) FROM documents WHERE doc_id % 12 = 1), 0"""
+
+
+def _corpus_tables(store):
+    """Rows and distinct words per table. Which of equal chunks is stored depends on their keys, so
+    the counts are those that do not."""
+    words = F.size(text.word_set(C("text")))
+    counted = lambda df, name, n: df.select(
+        F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("n_words"))
+    none = F.lit(0)
+    extracted = store.table("commits").select(
+        F.lit("extracted").alias("name"), F.sum("extracted").alias("n_rows"), F.lit(0).cast("bigint").alias("n_words"))
+    return reduce(lambda a, b: a.unionByName(b), [
+        counted(store.table("documents"), "documents", none), extracted,
+        counted(store.active(), "chunks", words), counted(store.active("index"), "index", F.size("tokens")),
+        counted(store.table("rejects"), "rejects", none),
+    ])
+
+
+@query(f"WITH {_CORPUS}")
+def stream_ingest(spark, sf):
+    store, inbox, checkpoint = (scratch_path(spark, n) for n in ("store", "landing", "offsets"))
+    for n, part in enumerate(_deliveries(spark, sf)):
+        part.write.parquet(f"{inbox}/{n}")
+        landed = readers.landed(jobs.table_stream(spark, f"{inbox}/*", part.schema))
+        _done(corpus.ingest_stream(landed, store, checkpoint, threshold=1.0))
+    return _corpus_tables(corpus.Store(spark, store))
+
+
+@query(f"WITH {_CORPUS}")
+def ingest_corpus(spark, sf):
+    store = corpus.Store(spark, scratch_path(spark, "store"))
+    for n, part in enumerate(_deliveries(spark, sf)):
+        corpus.ingest_batch(store, readers.landed(part), n, threshold=1.0)
+    return _corpus_tables(store)
+
+
 @query("""WITH flagged AS (
   SELECT user_id AS channel, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 600000000 THEN 0 ELSE 1 END AS starts
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

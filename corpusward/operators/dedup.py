@@ -177,6 +177,8 @@ def blocks_from_prefixes(
     are to meet use the same one. Without it the sets' own frequent words are taken.
     """
     t = Fraction(str(threshold))
+    if t >= 1:  # equal sets have the same print
+        return sets.select(F.col("key").alias("block"), "key", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos")).limit(0)
     listed = np.array(word_order(sets) if order is None else order, np.int64)
     by_word = np.argsort(listed)
     given = sets.sparkSession.sparkContext.broadcast((listed[by_word], by_word))

@@ -9,15 +9,19 @@ load and used by all.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusward.operators import dedup
-from corpusward.session import cut, release
+from corpusward.session import cut, exists, release
 
 SHARDS = 64
-SETS = "key BIGINT, words ARRAY<BIGINT>, n INT, print STRING, batch_id BIGINT, shard INT"
+SETS = (
+    "key BIGINT, words ARRAY<BIGINT>, n INT, print STRING, owner BIGINT, version BIGINT, "
+    "batch_id BIGINT, shard INT"
+)
 BLOCKS = "block BIGINT, key BIGINT, n INT, pos INT, batch_id BIGINT, shard INT"
 # The place of print blocks: their sets are equal, whatever their size.
 EQUAL = -1
@@ -44,22 +48,28 @@ def _write(df: DataFrame, path: str, batch_id: int, by: str) -> None:
 def word_order(spark: SparkSession, state: str, sets: DataFrame) -> list[int]:
     """The stored order; the first load's frequent words if there is none yet."""
     path = f"{state}/order"
-    try:
-        stored = spark.read.schema("place INT, word BIGINT").parquet(path).collect()
-    except AnalysisException:
-        order = dedup.word_order(sets)
-        spark.createDataFrame(list(enumerate(order)), "place INT, word BIGINT").coalesce(1).write.parquet(path)
-        return order
-    return [row["word"] for row in sorted(stored)]
+    if exists(spark, f"{path}/_SUCCESS"):
+        return [row["word"] for row in sorted(spark.read.schema("place INT, word BIGINT").parquet(path).collect())]
+    order = dedup.word_order(sets)
+    rows = spark.createDataFrame(list(enumerate(order)), "place INT, word BIGINT")
+    rows.coalesce(1).write.mode("overwrite").parquet(path)
+    return order
 
 
 def remember(
     spark: SparkSession, sets: DataFrame, state: str, batch_id: int, threshold: float = dedup.THRESHOLD
 ) -> None:
-    """Store the word sets of a load; a repeated load replaces what it stored before."""
+    """Store the word sets of a load; a repeated load replaces what it stored before.
+
+    ``owner`` and ``version``, numbers of a chunk's document, are stored where ``sets`` has them.
+    """
     order = word_order(spark, state, sets)
     _write(blocks(sets, threshold, order), f"{state}/blocks", batch_id, "block")
-    _write(sets.select("key", "words", F.col("n").cast("int").alias("n"), "print"), f"{state}/sets", batch_id, "key")
+    named = [
+        (F.col(c) if c in sets.columns else F.lit(None)).cast("bigint").alias(c) for c in ("owner", "version")
+    ]
+    plain = sets.select("key", "words", F.col("n").cast("int").alias("n"), "print", *named)
+    _write(plain, f"{state}/sets", batch_id, "key")
 
 
 def _stored(spark: SparkSession, path: str, schema: str, batches: Column, shards: list[int]) -> DataFrame:
@@ -74,12 +84,13 @@ def _shards_of(rows: DataFrame, column: str) -> list[int]:
 
 def matches(
     spark: SparkSession, fresh: DataFrame, state: str, batches: Column,
-    threshold: float = dedup.THRESHOLD, forgotten: DataFrame | None = None,
+    threshold: float = dedup.THRESHOLD, alive: Callable[[DataFrame], DataFrame] = lambda known: known,
 ) -> DataFrame:
     """``(key, kept_key, jaccard)``: the smallest stored chunk each fresh one duplicates.
 
-    ``fresh`` are word sets; ``batches`` says which loads count, by ``batch_id``; chunks whose
-    ``key`` is in ``forgotten`` don't. Only shards that the fresh sets hit are read.
+    ``fresh`` are word sets; ``batches`` says which loads count, by ``batch_id``; ``alive`` takes the
+    candidates among the stored sets and gives back those that count. Only shards that the fresh
+    sets hit are read.
     """
     fresh = cut(fresh)
     distinct = cut(fresh.join(dedup.exact_first(fresh), "key", "left_semi"))
@@ -88,8 +99,6 @@ def matches(
     met = mine.join(dedup.first_of_pair(
         _stored(spark, f"{state}/blocks", BLOCKS, batches, _shards_of(mine, "block"))
     ), "block")
-    if forgotten is not None:
-        met = met.join(forgotten.select(F.col("key").alias("first")), "first", "left_anti")
     equal = met.filter((F.col("pos") == EQUAL) & (F.col("__pos") == EQUAL))
     others = dedup.possible(met.filter((F.col("pos") >= 0) & (F.col("__pos") >= 0)), threshold)
     pairs = cut(
@@ -98,7 +107,8 @@ def matches(
         .groupBy("first", "later").agg(F.max("print").alias("print"))
     )
     known = _stored(spark, f"{state}/sets", SETS, batches, _shards_of(pairs, "first"))
-    known = cut(known.join(pairs.select(F.col("first").alias("key")).distinct(), "key", "left_semi"))
+    known = known.join(pairs.select(F.col("first").alias("key")).distinct(), "key", "left_semi")
+    known = cut(alive(known))
     near = dedup.verify_pairs(cut(pairs.filter(~F.col("print")).select("first", "later")), known, distinct, threshold)
     # a block is a hash: equal prints are compared themselves
     same = (

@@ -39,14 +39,16 @@ def from_tables(rows: DataFrame, bucket: Column, budget: int = 500) -> DataFrame
     """
     header = "header" if "header" in rows.columns else None
     chunks = chunking.table_chunks(rows, bucket, budget, header)
-    body = text.table_header(pii.redact(F.col("text")), F.col("filename"), F.col("chunk_index"))
+    name = access.basename(F.col("filename"))
+    body = text.table_header(pii.redact(F.col("text")), name, F.col("chunk_index"))
     return _shaped(chunks.withColumn("text", body), "excel")
 
 
 def from_pages(parts: DataFrame) -> DataFrame:
     """``parts(filename, chunk_index, text)``: text of page-like documents, blank parts skipped."""
     chunks = chunking.page_chunks(parts)
-    body = text.page_header(pii.redact(F.col("text")), F.col("filename"), F.col("chunk_index"))
+    name = access.basename(F.col("filename"))
+    body = text.page_header(pii.redact(F.col("text")), name, F.col("chunk_index"))
     return _shaped(chunks.withColumn("text", body), "pdf")
 
 

@@ -80,6 +80,11 @@ def qualified(spark: SparkSession, path: str):
     return system, system.makeQualified(place)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = qualified(spark, path)
+    return bool(system.exists(place))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     system, place = qualified(spark, path)
     system.delete(place, True)

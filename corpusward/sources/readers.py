@@ -104,10 +104,14 @@ def read_messages(
     yields nothing. Text that is not JSON is rejected as a whole (``pos`` null, the text kept); of
     an array only messages whose time is null or not a number are.
     """
-    files = spark.read.text(path, wholetext=not one_array_per_line).select(
+    return messages_in(spark.read.text(path, wholetext=not one_array_per_line).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename"),
         "value",
-    )
+    ))
+
+
+def messages_in(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(messages, rejected)`` of ``files(path, filename, value)``, each value an array's text."""
     # maps tell a missing field from a null one
     listed = F.from_json("value", "ARRAY<MAP<STRING, STRING>>")
     array = F.btrim("value", F.lit(" \t\r\n")).startswith("[")
@@ -150,6 +154,48 @@ def read_table_rows(
     )
 
 
+def table_rows_in(files: DataFrame, separator: str = " ") -> DataFrame:
+    """``(filename, row_no, row_text, header)`` of ``files(filename, value)``, comma-separated.
+
+    ``row_no`` is the line's place in the file. Cells may be quoted; a quoted cell keeps its commas,
+    not its line ends. Blank lines are skipped.
+    """
+    cell = r',(?=(?:[^"]*"[^"]*")*[^"]*\Z)'
+    plain = lambda c: F.replace(F.regexp_replace(c, r'\A\s*"|"\s*\Z', ""), F.lit('""'), F.lit('"'))
+    text = lambda line: F.array_join(F.transform(F.split(line, cell, -1), plain), separator)
+    lines = files.select("filename", F.posexplode(F.split("value", "\r?\n")).alias("row_no", "line"))
+    lines = lines.filter(F.trim("line") != "").select("filename", "row_no", text(F.col("line")).alias("row_text"))
+    first = lines.groupBy("filename").agg(F.min_by("row_text", "row_no").alias("header"), F.min("row_no").alias("__top"))
+    return lines.join(first, "filename").filter(F.col("row_no") > F.col("__top")).drop("__top")
+
+
+def landed(rows: DataFrame, root: str | None = None) -> DataFrame:
+    """``(path, source_type, filename, value, modified)`` of files in the known folders.
+
+    ``rows(path, value, modified)``, paths below ``root`` or, without it, absolute in a store of
+    their own. A path is ``/folder/name`` or ``/delivery/folder/name``; the name below the folder is
+    the file's ``filename``, so a later delivery of it is a new version.
+    """
+    path = F.col("path") if root is None else below(rows.sparkSession, root, F.col("path"))
+    names = "|".join(access.FOLDER_SOURCES)
+    pattern = rf"\A/(?:[^/]+/)?({names})/(.+)\Z"
+    found = rows.withColumn("__place", path).filter(wanted(F.col("path")) & F.col("__place").rlike(pattern))
+    return found.select(
+        "path", access.lookup(F.regexp_extract("__place", pattern, 1), access.FOLDER_SOURCES).alias("source_type"),
+        F.regexp_extract("__place", pattern, 2).alias("filename"), "value", "modified",
+    )
+
+
+def read_files(spark: SparkSession, root: str, streaming: bool = False) -> DataFrame:
+    """Whole files below ``root``, as ``landed`` describes them."""
+    reader = spark.readStream if streaming else spark.read
+    rows = reader.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(root)
+    return landed(rows.select(
+        F.col("_metadata.file_path").alias("path"), "value",
+        F.col("_metadata.file_modification_time").alias("modified"),
+    ), root)
+
+
 def read_objects(spark: SparkSession, uris: list[str], fmt: str = "text", **options) -> DataFrame:
     """Read ``minio://bucket/object`` URIs through the S3 file system Spark is set up with."""
     paths = [u.replace("minio://", "s3a://", 1) if u.startswith("minio://") else u for u in uris]
