@@ -17,7 +17,7 @@ from corpusward.catalog.scalars import _redacted_sql
 from corpusward.plans import corpus, ingest
 from corpusward.session import scratch_path
 from corpusward.sources import readers, sinks
-from corpusward.streaming import jobs
+from corpusward.streaming import jobs, threads
 
 C = F.col
 QUERIES, SQL = {}, {}
@@ -246,6 +246,28 @@ def stream_sessionize(spark, sf):
     return spark.read.parquet(out)
 
 
+@query("""WITH flagged AS (
+  SELECT user_id::VARCHAR AS channel, ts, event_id, event_type,
+    CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 600000000 THEN 1 ELSE 0 END AS starts
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+threads AS (SELECT *, sum(starts) OVER (PARTITION BY channel ORDER BY ts, event_id)::BIGINT AS thread_no FROM flagged)
+SELECT channel, thread_no, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_messages,
+  string_agg('User ' || channel || ': ' || event_type, chr(10) ORDER BY ts, event_id) AS text
+FROM threads GROUP BY channel, thread_no
+HAVING epoch_us(max(ts)) + 600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 600000000""")
+def stream_threads(spark, sf):
+    out, checkpoint = scratch_path(spark, "threads"), scratch_path(spark, "offsets")
+    own = spark.newSession()
+    for name, value in {**threads.STATE_SETTINGS, "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}.items():
+        own.conf.set(name, value)
+    live = _stream(own, sf, "events").select(
+        C("user_id").alias("channel"), C("ts").cast("timestamp").alias("ts"), C("event_id").alias("pos"),
+        C("user_id").cast("string").alias("user"), C("event_type").alias("text"),
+    )
+    _done(jobs.run_to_table(threads.threads(live), out, checkpoint))
+    return spark.read.parquet(out).drop("part", "closed")
+
+
 @query(f"""WITH RECURSIVE {_GREEDY}
 SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dropped)""")
 def stream_dedup(spark, sf):
