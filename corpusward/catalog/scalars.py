@@ -96,7 +96,10 @@ _CARD = r"\b[0-9](?:[ -]?[0-9]){12,18}\b"
 _SSN = r"\b[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}\b"
 _PHONE = (
     r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|\b[0-9]{3}[. -])[0-9]{3}[. -][0-9]{4}\b"
-    r"|\+[0-9](?:[ .-]?[0-9]){7,14}\b|\b[0-9]{10}\b"
+    r"|\+[0-9](?:[ .-]?[0-9]){7,14}\b"
+)
+_ANNOUNCED = (
+    r"(?i)(^|[^\p{L}\p{M}\p{N}_])((?:tel|telephone|phone|mobile|cell|call|fax|telefon|téléphone|teléfono)[.:]{0,2} ?)[0-9]{10}\b"
 )
 _EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}{2,}"
 
@@ -111,9 +114,9 @@ def _redacted_sql(source: str) -> str:
         string_split_regex(text, '{_CARD}'),
         list_append(list_transform(regexp_extract_all(text, '{_CARD}'), lambda c:
           CASE WHEN {luhn} THEN '<CREDIT_CARD>' ELSE c END), '')), lambda p: p[1] || p[2]), '')"""
-    return rf"""regexp_replace(regexp_replace(regexp_replace({cards},
+    return rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({cards},
       '{_SSN}', '<US_SSN>', 'g'), '{_PHONE}', '<PHONE_NUMBER>', 'g'),
-      '{_EMAIL}', '<EMAIL_ADDRESS>', 'g')""".replace("{source}", source)
+      '{_ANNOUNCED}', '\1\2<PHONE_NUMBER>', 'g'), '{_EMAIL}', '<EMAIL_ADDRESS>', 'g')""".replace("{source}", source)
 
 
 @query(f"SELECT doc_id, {_redacted_sql('documents')} AS redacted FROM documents")

@@ -5,10 +5,12 @@ Order matters: cards first, since a phone pattern would eat part of a card numbe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusward.functions.text import regex_literal
+from corpusward.functions.text import let, regex_literal
 
 # ASCII word edges, spelled out so that accented letters count as non-word on every engine.
 _START = "(?<![0-9A-Za-z_])"
@@ -18,13 +20,16 @@ _LETTER = r"[\p{L}\p{M}\p{N}_]"
 
 CARD = _START + r"[0-9](?:[ -]?[0-9]){12,18}" + _END
 SSN = _START + r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}" + _END
-# North American forms, then any international number, then ten digits in a row.
+# North American forms with separators, then any international number with its sign. Ten digits in a
+# row may be a time or an order number; they count only behind a word that announces a phone.
 PHONE = (
     r"(?:\+[0-9]{1,3}[ .-]?)?"
     r"(?:\([0-9]{3}\) ?|" + _START + r"[0-9]{3}[. -])[0-9]{3}[. -][0-9]{4}" + _END
     + r"|\+[0-9](?:[ .-]?[0-9]){7,14}" + _END
-    + "|" + _START + r"[0-9]{10}" + _END
 )
+# Words that announce a phone number.
+PHONE_WORDS = ("tel", "telephone", "phone", "mobile", "cell", "call", "fax", "telefon", "téléphone", "teléfono")
+ANNOUNCED_PHONE = rf"(?i)(?<!{_LETTER})((?:{'|'.join(PHONE_WORDS)})[.:]{{0,2}} ?)[0-9]{{10}}" + _END
 # Only the start of a run is tried, so a long run without a sign is read once.
 _LOCAL = r"[\p{L}\p{N}._%+-]"
 EMAIL = rf"(?<!{_LOCAL}){_LOCAL}++@[\p{{L}}\p{{N}}.-]+\.\p{{L}}{{2,}}"
@@ -58,14 +63,27 @@ def redact_cards(text: Column) -> Column:
     return F.when(text.rlike(CARD), F.array_join(parts, "")).otherwise(text)
 
 
+def _where(sign: str, step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """``step`` for texts in which ``sign`` is found."""
+    return lambda text: F.when(text.rlike(sign), step(text)).otherwise(text)
+
+
 def redact(text: Column, extra: dict[str, str] | None = None) -> Column:
     """Cards, social security numbers, phones, e-mails; then the caller's own patterns.
 
     ``extra`` maps an entity name to a Java regular expression, e.g. employee numbers.
     """
-    out = redact_cards(text)
-    for tag, pattern in (("US_SSN", SSN), ("PHONE_NUMBER", PHONE), ("EMAIL_ADDRESS", EMAIL)):
-        out = F.regexp_replace(out, pattern, f"<{tag}>")
+    steps = [
+        # what a text must hold for the pattern to match at all is looked for first, as most hold none
+        ("[0-9]", redact_cards),
+        ("[0-9]{4}", lambda t: F.regexp_replace(t, SSN, "<US_SSN>")),
+        (r"[0-9]{4}|\+[0-9]", lambda t: F.regexp_replace(t, PHONE, "<PHONE_NUMBER>")),
+        ("[0-9]{10}", lambda t: F.regexp_replace(t, ANNOUNCED_PHONE, "$1<PHONE_NUMBER>")),
+        ("@", lambda t: F.regexp_replace(t, EMAIL, "<EMAIL_ADDRESS>")),
+    ]
+    out = text
+    for sign, step in steps:
+        out = let(out, _where(sign, step))
     for tag, pattern in (extra or {}).items():
         out = F.regexp_replace(out, pattern, f"<{tag}>")
     return out
