@@ -49,12 +49,12 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 UNKNOWN = "und"
 # Entries of a worker's tries, bytes of its words, and entries of a container before it bursts.
-ENTRIES = 500_000
+ENTRIES = 650_000
 WORD_BYTES = 32 << 20
 BURST = 1 << 15
 # Words whose phrases a prefix partition holds, about; texts sampled for each, and a phrase of how
 # many words of a sampled text.
-PART_WORDS = 1_000_000
+PART_WORDS = 1_500_000
 SAMPLE_DOCS = 20
 SAMPLE_STEP = 41
 _BITS = 21  # of a word's number inside a worker
