@@ -114,7 +114,7 @@ def op10_mix_sources(spark, sf):
 @query()
 def op4_sentencepiece(spark, sf):
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.round_trip(table(spark, sf, "documents"), model, remembered=400_000)
+    return pieces.round_trip(table(spark, sf, "documents"), model, remembered=800_000)
 
 
 @query()
