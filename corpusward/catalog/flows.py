@@ -17,7 +17,7 @@ from corpusward.catalog.scalars import _redacted_sql
 from corpusward.plans import corpus, ingest
 from corpusward.session import scratch_path
 from corpusward.sources import readers, sinks
-from corpusward.streaming import jobs, threads
+from corpusward.streaming import freshness, jobs, threads
 
 C = F.col
 QUERIES, SQL = {}, {}
@@ -137,6 +137,14 @@ def _stream(spark, sf, table):
     return jobs.table_stream(spark, f"{sf}/{table}.parquet*", t.read(spark, sf, table).schema)
 
 
+def _stateful(spark):
+    """A session of its own whose streams keep state on disk."""
+    own = spark.newSession()
+    for name, value in {**threads.STATE_SETTINGS, "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}.items():
+        own.conf.set(name, value)
+    return own
+
+
 def _done(q):
     q.awaitTermination()
 
@@ -257,10 +265,7 @@ FROM threads GROUP BY channel, thread_no
 HAVING epoch_us(max(ts)) + 600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 600000000""")
 def stream_threads(spark, sf):
     out, checkpoint = scratch_path(spark, "threads"), scratch_path(spark, "offsets")
-    own = spark.newSession()
-    for name, value in {**threads.STATE_SETTINGS, "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}.items():
-        own.conf.set(name, value)
-    live = _stream(own, sf, "events").select(
+    live = _stream(_stateful(spark), sf, "events").select(
         C("user_id").alias("channel"), C("ts").cast("timestamp").alias("ts"), C("event_id").alias("pos"),
         C("user_id").cast("string").alias("user"), C("event_type").alias("text"),
     )
@@ -308,11 +313,11 @@ seen AS (SELECT *, max(CASE WHEN is_write THEN epoch_us(ts) END) OVER (PARTITION
 SELECT id, cache_key, coalesce(epoch_us(ts) - written < 3600000000, false) AS hit FROM seen WHERE NOT is_write""")
 def stream_cache_ttl(spark, sf):
     out, checkpoint = scratch_path(spark, "hits"), scratch_path(spark, "offsets")
-    activity = _stream(spark, sf, "events").select(
+    activity = _stream(_stateful(spark), sf, "events").select(
         C("props").alias("cache_key"), C("event_id").alias("id"), C("ts").cast("timestamp").alias("ts"),
         (C("event_type") == "purchase").alias("is_write"),
     )
-    _done(jobs.run_to_table(jobs.cache_hits(activity), out, checkpoint))
+    _done(jobs.run_to_table(freshness.cache_hits(activity), out, checkpoint))
     return spark.read.parquet(out).select("id", "cache_key", "hit")
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from corpusward.session import build_session
+from corpusward.streaming import threads
 
 
 @pytest.fixture(scope="session")
@@ -28,3 +29,13 @@ def one(spark):
         return spark.range(1).select(column.alias("v")).first()["v"]
 
     return value
+
+
+@pytest.fixture()
+def stateful(spark):
+    """The session with streams' state on disk."""
+    for name, value in threads.STATE_SETTINGS.items():
+        spark.conf.set(name, value)
+    yield spark
+    for name in threads.STATE_SETTINGS:
+        spark.conf.unset(name)

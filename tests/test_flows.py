@@ -194,20 +194,6 @@ def test_stream_dedup_remembers_and_repeats(spark, tmp_path):
         assert sorted(r[0] for r in spark.read.parquet(out).select("chunk_key").collect()) == [1, 3, 5]
 
 
-def test_stream_cache_over_batches(spark, tmp_path):
-    start = datetime(2024, 1, 1)
-    activity = [("k", 1, 0, True), ("k", 2, 30, False), ("k", 3, 59, False), ("j", 4, 59, False), ("k", 5, 60, False), ("k", 6, 61, True), ("k", 7, 62, False)]
-    schema = "cache_key string, id long, ts timestamp, is_write boolean"
-    inbox, out, offsets = (str(tmp_path / n) for n in ("in", "out", "offsets"))
-    for part in (activity[:2], activity[2:5], activity[5:]):
-        df = spark.createDataFrame([(k, i, start + timedelta(minutes=m), w) for k, i, m, w in part], schema)
-        df.coalesce(1).write.mode("append").parquet(inbox)
-        stream = jobs.table_stream(spark, inbox, df.schema)
-        jobs.run_to_table(jobs.cache_hits(stream), out, offsets).awaitTermination()
-    got = spark.read.parquet(out).select("id", "hit").collect()
-    assert sorted(map(tuple, got)) == [(2, True), (3, True), (4, False), (5, False), (7, True)]
-
-
 def test_stream_rate_report(spark, tmp_path):
     start = datetime(2024, 1, 1)
     calls = [("ann", start + timedelta(seconds=s)) for s in range(31)] + [("bob", start)] + [("bob", start + timedelta(minutes=9))]

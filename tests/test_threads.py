@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from corpusward.operators import chunking
@@ -15,15 +14,6 @@ START = datetime(2024, 1, 1)
 SCHEMA = "channel string, ts timestamp, pos long, user string, text string"
 
 
-@pytest.fixture()
-def stateful(spark):
-    for name, value in threads.STATE_SETTINGS.items():
-        spark.conf.set(name, value)
-    yield spark
-    for name in threads.STATE_SETTINGS:
-        spark.conf.unset(name)
-
-
 def run(spark, tmp_path, deliveries, **options):
     inbox, out, offsets = (str(tmp_path / n) for n in ("in", "out", "offsets"))
     late = 0
