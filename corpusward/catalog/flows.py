@@ -17,7 +17,7 @@ from corpusward.catalog.scalars import _redacted_sql
 from corpusward.plans import corpus, ingest
 from corpusward.session import scratch_path
 from corpusward.sources import readers, sinks
-from corpusward.streaming import freshness, jobs, threads
+from corpusward.streaming import freshness, jobs, retries, threads
 
 C = F.col
 QUERIES, SQL = {}, {}
@@ -307,6 +307,51 @@ def retry_then_dlq(spark, sf):
     ))
 
 
+def _as_messages(docs, mended):
+    """Every document as a file with one message; where ``mended`` is false the file is cut short."""
+    whole = F.to_json(F.array(F.struct(
+        C("lang").alias("user"), F.coalesce("text", F.lit("")).alias("text"), F.lit("1690890000").alias("ts"))))
+    return docs.select(
+        F.concat(F.lit("/d/slack/"), "doc_id", F.lit(".json")).alias("path"),
+        F.when(mended, whole).otherwise(F.lit('[{"user": ')).alias("value"),
+        F.timestamp_seconds(F.lit(1700000000)).alias("modified"),
+    )
+
+
+@query("""SELECT '/d/slack/' || doc_id || '.json' AS filepath, CASE WHEN doc_id % 3 = 1 THEN 'dead' ELSE 'stored' END AS outcome,
+  CASE doc_id % 3 WHEN 2 THEN 3 WHEN 1 THEN 4 ELSE 1 END::BIGINT AS tries FROM documents""")
+def retry_ingest(spark, sf):
+    """A third of the files is whole at once, a third at the third try, a third never."""
+    own = _stateful(spark)
+    docs = t.read(own, sf, "documents").select("doc_id", "text", "lang")
+    root, inbox, offsets = (scratch_path(spark, n) for n in ("store", "landing", "offsets"))
+    first = _as_messages(docs, C("doc_id") % 3 == 0)
+    first.write.parquet(inbox)
+
+    def again(session, due):
+        third = due.filter("attempt = 2").select(C("path").alias("__path"))
+        names = docs.withColumn("__path", F.concat(F.lit("/d/slack/"), "doc_id", F.lit(".json"))).join(
+            due.select(C("path").alias("__path")), "__path", "left_semi"
+        ).join(third.withColumn("__third", F.lit(True)), "__path", "left")
+        return _as_messages(names, C("__third") & (C("doc_id") % 3 == 2))
+
+    landed = readers.landed(jobs.table_stream(own, inbox, first.schema))
+    live = retries.ingest_stream(landed, root, offsets, again=again, second_ms=1, trigger="0 seconds", threshold=1.0)
+    store, files = corpus.Store(spark, root), docs.count()
+    try:
+        while store.table("documents").count() + store.table("dead").count() < files:
+            if live.awaitTermination(1):
+                break
+    finally:
+        live.stop()
+    failed = store.table("rejects").groupBy("filepath").agg(F.count("*").alias("failed"))
+    ended = store.table("documents").select("filepath", F.lit("stored").alias("outcome")).unionByName(
+        store.table("dead").select("filepath", F.lit("dead").alias("outcome")))
+    return ended.join(failed, "filepath", "left").select(
+        "filepath", "outcome",
+        (F.coalesce("failed", F.lit(0)) + (C("outcome") == "stored").cast("bigint")).alias("tries"))
+
+
 @query("""WITH activity AS (SELECT props AS cache_key, event_id AS id, ts, event_type = 'purchase' AS is_write FROM events),
 seen AS (SELECT *, max(CASE WHEN is_write THEN epoch_us(ts) END) OVER (PARTITION BY cache_key ORDER BY ts, id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS written FROM activity)

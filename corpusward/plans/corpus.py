@@ -1,6 +1,6 @@
 """One job from files to a searchable corpus, by batches that count as a whole or not at all.
 
-A batch parses its files, redacts, numbers versions, drops duplicates and writes four tables and the
+A batch parses its files, redacts, numbers versions, drops duplicates and writes its tables and the
 fingerprints, each below its ``batch_id``. Its commit marker comes last. Readers see committed
 batches only, and so does every later batch; a batch that dies is repeated under the same id and
 overwrites what it left, and one that has its marker is not done again. So a replay neither doubles
@@ -12,6 +12,7 @@ documents  ``source_type, filename, filepath, version, n_chunks, created_at``: f
 chunks     ``chunk_key, source_type, filename, version, chunk_index, text, allowed_groups``
 index      ``chunk_key, source_type, allowed_groups, tokens``: ids of a chunk's words
 rejects    ``filepath, source_type, error_message, attempt, ts``: what could not be read
+dead       rejects whose retries are used up, see ``streaming/retries.py``
 =========  ======================================================================================
 
 A chunk is a duplicate of a chunk before it in the batch, or of a stored one of *another* current
@@ -38,15 +39,18 @@ TABLES = {
     "chunks": "chunk_key BIGINT, source_type STRING, filename STRING, version BIGINT, chunk_index BIGINT, text STRING, allowed_groups ARRAY<STRING>",
     "index": "chunk_key BIGINT, source_type STRING, allowed_groups ARRAY<STRING>, tokens ARRAY<INT>",
     "rejects": "filepath STRING, source_type STRING, error_message STRING, attempt INT, ts TIMESTAMP",
+    "dead": "filepath STRING, source_type STRING, error_message STRING, retry_count INT, created_at TIMESTAMP",
     "commits": "source_type STRING, files BIGINT, extracted BIGINT, stored BIGINT, duplicates BIGINT",
 }
 UNREADABLE = (".xlsx",)
+PARTIAL = "message without a time"  # rejects of files that were read all the same
 
 
 def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(chunks, rejects)`` of landed files; a chunk's ``filename`` is the file's whole path.
 
-    Pages of page-like documents are separated by form feeds, as text extractors write them.
+    Pages of page-like documents are separated by form feeds, as text extractors write them. A null
+    ``value`` is a file that could not be read. ``attempt`` is 0 where ``files`` has no such column.
     """
     rows = files.select("source_type", F.col("path").alias("filename"), "path", "value", "modified")
     closed = F.lower(F.substring_index("path", ".", -1)).isin([e[1:] for e in UNREADABLE])
@@ -64,13 +68,18 @@ def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     now = F.current_timestamp()
     broken = told(bad.withColumn("source_type", F.lit("slack")), F.when(
         F.col("pos").isNull(), F.lit("not a JSON file")
-    ).otherwise(F.concat(F.lit("message without a time: "), F.col("pos").cast("string"))), now)
+    ).otherwise(F.concat(F.lit(f"{PARTIAL}: "), F.col("pos").cast("string"))), now)
     sealed = told(rows.filter(closed), F.lit("must be converted to text first"), now)
+    gone = told(rows.filter(~closed & F.col("value").isNull()), F.lit("cannot be read"), now)
     # what could not be redacted is not stored: closed, not open
     bare = told(chunks.filter(F.col("text").isNull()).withColumn("path", F.col("filename")), F.lit("redaction failed"), now)
-    return chunks.filter(F.col("text").isNotNull()), broken.unionByName(sealed).unionByName(bare).withColumn(
-        "attempt", F.lit(0)
-    )
+    rejects = broken.unionByName(sealed).unionByName(gone).unionByName(bare)
+    if "attempt" in files.columns:
+        tries = files.select(F.col("path").alias("filepath"), "attempt")
+        rejects = rejects.join(tries, "filepath")
+    else:
+        rejects = rejects.withColumn("attempt", F.lit(0))
+    return chunks.filter(F.col("text").isNotNull()), rejects
 
 
 class Store:
@@ -92,10 +101,11 @@ class Store:
         nothing.write.mode("ignore").parquet(f"{self._path(name)}/batch_id=-1")
         return self.spark.read.schema(f"{TABLES[name]}, batch_id BIGINT").parquet(self._path(name))
 
-    def table(self, name: str, before: int | None = None) -> DataFrame:
-        """Rows of committed batches, or of those before a batch."""
+    def table(self, name: str, before: int | None = None, ids: bool = False) -> DataFrame:
+        """Rows of committed batches, or of those before a batch; ``ids`` adds their ``batch_id``."""
         done = [i for i in self.committed() if before is None or i < before]
-        return self._read(name).filter(F.col("batch_id").isin(done)).drop("batch_id")
+        rows = self._read(name).filter(F.col("batch_id").isin(done))
+        return rows if ids else rows.drop("batch_id")
 
     def write(self, name: str, batch_id: int, rows: DataFrame) -> DataFrame:
         path = f"{self._path(name)}/batch_id={batch_id}"

@@ -174,15 +174,18 @@ def landed(rows: DataFrame, root: str | None = None) -> DataFrame:
 
     ``rows(path, value, modified)``, paths below ``root`` or, without it, absolute in a store of
     their own. A path is ``/folder/name`` or ``/delivery/folder/name``; the name below the folder is
-    the file's ``filename``, so a later delivery of it is a new version.
+    the file's ``filename``, so a later delivery of it is a new version. Paths below ``root`` are as
+    Spark's readers spell them, with escapes, which the filename has not.
     """
     path = F.col("path") if root is None else below(rows.sparkSession, root, F.col("path"))
+    spelled = F.replace("__name", F.lit("+"), F.lit("%2B"))
+    name = F.col("__name") if root is None else F.coalesce(F.try_url_decode(spelled), "__name")
     names = "|".join(access.FOLDER_SOURCES)
     pattern = rf"\A/(?:[^/]+/)?({names})/(.+)\Z"
     found = rows.withColumn("__place", path).filter(wanted(F.col("path")) & F.col("__place").rlike(pattern))
-    return found.select(
+    return found.withColumn("__name", F.regexp_extract("__place", pattern, 2)).select(
         "path", access.lookup(F.regexp_extract("__place", pattern, 1), access.FOLDER_SOURCES).alias("source_type"),
-        F.regexp_extract("__place", pattern, 2).alias("filename"), "value", "modified",
+        name.alias("filename"), "value", "modified",
     )
 
 
