@@ -13,9 +13,10 @@ from corpusward.functions import text
 from corpusward.catalog import tables as t
 from corpusward.catalog.retrieval import _GREEDY
 from corpusward.operators import admin, reports
+from corpusward.operators.running import with_running
 from corpusward.catalog.scalars import _redacted_sql
 from corpusward.plans import corpus, ingest
-from corpusward.session import scratch_path
+from corpusward.session import cut, scratch_path
 from corpusward.sources import readers, sinks
 from corpusward.streaming import freshness, jobs, retries, threads
 
@@ -77,12 +78,16 @@ def scan_message_json(spark, sf):
 
 
 @query("""SELECT event_id || ' ' || user_id || ' ' || event_type || ' ' || props AS row_text,
-  'event_id user_id event_type props' AS header FROM events""")
+  'event_id user_id event_type props' AS header, row_number() OVER (ORDER BY event_id) AS place FROM events""")
 def scan_table_csv(spark, sf):
     path = scratch_path(spark, "table")
-    t.read(spark, sf, "events").select("event_id", "user_id", "event_type", "props").write.option("header", True).option("escape", '"').csv(path)
+    rows = t.read(spark, sf, "events").select("event_id", "user_id", "event_type", "props")
+    # one file in order of its ids; it is read in splits all the same
+    rows.coalesce(1).sortWithinPartitions("event_id").write.option("header", True).option("escape", '"').csv(path)
     schema = "event_id STRING, user_id STRING, event_type STRING, props STRING"
-    return readers.read_table_rows(spark, path, schema, escape='"').select("row_text", "header")
+    table = cut(readers.read_table_rows(spark, path, schema, escape='"'))
+    placed = with_running(table, ["filename"], ["row_no"], C("split"), inclusive={"place": ("sum", F.lit(1))})
+    return placed.select("row_text", "header", "place")
 
 
 # --- sinks -------------------------------------------------------------------------------------
@@ -97,7 +102,7 @@ def sink_chunk_index(spark, sf):
     update = chunks.filter((C("chunk_key") % 3 == 0) & (C("source_type") != "pdf"))
     update = update.withColumn("filename", F.concat(F.lit("new "), "filename"))
     sinks.write_chunk_index(spark, update, path, ["chunk_key"])
-    return spark.read.parquet(path).select("chunk_key", "source_type", "filename", t.joined("allowed_groups").alias("groups"))
+    return sinks.read_chunk_index(spark, path).select("chunk_key", "source_type", "filename", t.joined("allowed_groups").alias("groups"))
 
 
 @query(f"""WITH {t.RETRIEVED}, {t.PRINCIPALS}, known AS (SELECT user_id FROM principals WHERE user_id % 3 <> 0),

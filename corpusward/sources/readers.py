@@ -141,7 +141,16 @@ def parse_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_table_rows(
     spark: SparkSession, path: str | list[str], schema: str, separator: str = " ", **options
 ) -> DataFrame:
-    """``(filename, row_text, header)`` per row of delimited tables with a header line."""
+    """``(filename, row_no, split, row_text, header)`` per row of delimited tables with a header line.
+
+    A file is read in splits by many tasks. ``row_no`` ascends in the order of the file's lines,
+    with gaps: it is made of the byte at which the line's split starts and the line's place among
+    those of its task, so no pass counts lines and nothing is shuffled. ``split`` is that byte, an
+    order bucket for running totals. Both may differ between two scans: write the rows (``cut``)
+    before an operator that reads them more than once.
+    """
+    split = F.col("_metadata.file_block_start")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
     table = (
         spark.read.schema(schema).option("header", True)
         .option("mode", "PERMISSIVE").options(**options).csv(path)
@@ -149,6 +158,8 @@ def read_table_rows(
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in table.columns]
     return table.select(
         F.col("_metadata.file_name").alias("filename"),
+        (split.cast("decimal(19,0)") * F.lit(2**33).cast("decimal(10,0)") + place).cast("decimal(30,0)").alias("row_no"),
+        split.alias("split"),
         F.concat_ws(separator, *cells).alias("row_text"),
         F.lit(separator.join(table.columns)).alias("header"),
     )

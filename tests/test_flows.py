@@ -47,11 +47,10 @@ def test_ingest_chain(spark, corpus):
     docs = readers.read_markdown(spark, str(corpus / "confluence/deep"))
     good, bad = readers.read_messages(spark, [str(corpus / "slack/export.json"), str(corpus / "slack/object.json")])
     chat = good.select("filename", "user", "text", "ts", "pos")
-    table = readers.read_table_rows(spark, str(corpus / "excel"), "Role STRING, Band STRING").withColumn(
-        "row_no", F.when(F.col("row_text").startswith("Eng"), 1).otherwise(2))
+    table = readers.read_table_rows(spark, str(corpus / "excel"), "Role STRING, Band STRING")
     pages = spark.createDataFrame([("a.pdf", 0, " "), ("a.pdf", 1, "page")], "filename string, chunk_index int, text string")
     chunks = ingest.union_sources(
-        ingest.from_markdown(docs), ingest.from_messages(chat), ingest.from_tables(table, F.lit(0)), ingest.from_pages(pages))
+        ingest.from_markdown(docs), ingest.from_messages(chat), ingest.from_tables(table, F.col("split")), ingest.from_pages(pages))
     got = {(r["source_type"], r["chunk_index"]): (r["text"], r["allowed_groups"]) for r in chunks.collect()}
     assert got == {
         ("confluence", 0): ("# Leave", ["Public"]),
@@ -140,6 +139,41 @@ def test_upsert_rewrites_only_touched_partitions(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(1, "x"), (2, "new"), (3, "z"), (4, "w")]
 
 
+def test_upsert_rewrites_one_shard(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = spark.range(400).selectExpr("id AS chunk_key", "'md' AS source_type", "'old' AS text", "0 AS version")
+    sinks.write_chunk_index(spark, rows, path, ["chunk_key"], exists=False, shards=8)
+    files = lambda: {f.relative_to(tmp_path) for f in (tmp_path / "index").rglob("*.parquet")}
+    before = files()
+    update = spark.createDataFrame(
+        [(7, "md", "a", 1), (7, "md", "c", 2), (7, "md", "b", 2)], "chunk_key long, source_type string, text string, version int")
+    sinks.write_chunk_index(spark, update, path, ["chunk_key"], order=("version",))
+    changed = {f.parent for f in before ^ files()}
+    assert len(changed) == 1 and len({f.parent for f in before}) == 8
+    table = sinks.read_chunk_index(spark, path)
+    assert table.columns == ["chunk_key", "text", "version", "source_type"]
+    assert table.count() == table.select("chunk_key").distinct().count() == 400
+    # the last by version, of equal versions the one with the greater contents
+    assert [tuple(r) for r in table.filter("text <> 'old'").collect()] == [(7, "c", 2, "md")]
+
+
+def test_rows_of_a_file_in_many_splits(spark, tmp_path):
+    lines = [f"{i},{'x' * (i * 37 % 90)}" for i in range(3000)]
+    (tmp_path / "big.csv").write_text("id,word\n" + "\n".join(lines[:1500]) + "\n\n" + "\n".join(lines[1500:]) + "\n")
+    (tmp_path / "small.csv").write_text("id,word\n1,a\n2,b\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = cut(readers.read_table_rows(spark, str(tmp_path), "id STRING, word STRING"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    big = rows.filter("filename = 'big.csv'")
+    assert big.select("split").distinct().count() > 10
+    assert [r.row_text for r in big.orderBy("row_no").collect()] == [line.replace(",", " ") for line in lines]
+    chunks = ingest.from_tables(rows, F.col("split"), budget=5000).filter("filename = 'big.csv'").orderBy("chunk_index").collect()
+    told = [line for c in chunks for line in c.text.split("\n")[2:] if line != "id word"]
+    assert len(chunks) > 10 and [line.split(" ")[0] for line in told] == [str(i) for i in range(3000)]
+
+
 def test_question_flow(spark):
     chunks = spark.createDataFrame([
         (1, "policy.md", "confluence", ["Public"], "annual leave is twenty days"),
