@@ -1,9 +1,9 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after the other by linear (logistic) models. Each model sees the words
-of the text and, as further features, the log odds that the earlier models of the chain give it. In
-training these come from *out-of-fold* models, fitted on the other folds, so a later model meets
-earlier predictions as wrong as they will be on unseen text.
+of the text and, as further features, the probabilities that the earlier models of the chain give it,
+less those of a text that says nothing. In training these come from *out-of-fold* models, fitted on the
+other folds, so a later model meets earlier predictions as wrong as they will be on unseen text.
 
 Training reads at most ``max_rows`` labelled rows, half of them from rows with the rarest-first
 category, picked by a hash of their ids and weighted back to the shares in the whole label table.
@@ -14,7 +14,7 @@ the model, at most ``max_features`` words.
 
 Defined results: a null or empty text has no words and gets each category's share; labels with a
 null id are ignored, of repeated ones the largest value of each category counts, a null value counts
-as 0; a label table without both values of a category gives that category its share; rows with a
+as 0, of a labelled id's several texts the first in order is read; a label table without both values of a category gives that category its share; rows with a
 null or repeated id are scored like any other; an empty table gives an empty result; columns other
 than those named are not read, whatever their names.
 """
@@ -54,6 +54,10 @@ def words(text: str | None) -> set[str]:
     return out
 
 
+def probability(log_odds):
+    return 1 / (1 + np.exp(-log_odds))
+
+
 # --- fitting -----------------------------------------------------------------------------------
 
 @dataclass
@@ -79,7 +83,7 @@ class Rows:
 
 @dataclass
 class Linear:
-    """``intercept + words . x + earlier . e``, ``e`` being earlier log odds over their intercepts."""
+    """``intercept + words . x + earlier . e``, ``e`` being earlier probabilities over those of an empty text."""
 
     intercept: float
     words: np.ndarray
@@ -88,6 +92,10 @@ class Linear:
     def log_odds(self, word_sum: np.ndarray, earlier: np.ndarray) -> np.ndarray:
         return np.clip(self.intercept + word_sum + earlier @ self.earlier, -30, 30)
 
+    def told(self, log_odds: np.ndarray) -> np.ndarray:
+        """What later models of the chain are given."""
+        return probability(log_odds) - probability(self.intercept)
+
 
 def fit(
     rows: Rows, earlier: np.ndarray, target: np.ndarray, weight: np.ndarray, width: int,
@@ -104,7 +112,7 @@ def fit(
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
         odds = theta[0] + earlier @ theta[1:cut] + rows.dot(theta[cut:])
-        error = weight * (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - target)
+        error = weight * (probability(np.clip(odds, -30, 30)) - target)
         slope = np.concatenate([[error.sum()], error @ earlier, rows.back(error, width)])
         slope[1:] += penalty * theta[1:] / len(target)
         slope[0] = 0.0  # a text that says nothing keeps the category's share
@@ -132,7 +140,7 @@ def fit_chain(
                 part = rows.of(others)
                 model = fit(part, earlier[others], target[others], weight[others], width, rounds)
                 odds = model.log_odds(rows.of(held).dot(model.words), earlier[held])
-                unseen[held] = odds - model.intercept
+                unseen[held] = model.told(odds)
         earlier = np.column_stack([earlier, unseen])
     return chain
 
@@ -155,7 +163,7 @@ class Model:
         earlier, out = np.zeros((len(texts), 0)), []
         for model in self.chain:
             out.append(model.log_odds(rows.dot(model.words), earlier))
-            earlier = np.column_stack([earlier, out[-1] - model.intercept])
+            earlier = np.column_stack([earlier, model.told(out[-1])])
         return np.column_stack(out)
 
 
@@ -220,7 +228,8 @@ def train(
     names = list(categories)
     picked = cut(_picked(labels, label_key, categories, max_rows))
     texts = docs.select(F.col(key).alias("id"), F.col(body).cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(picked.select("id")), "id", "left_semi").dropDuplicates(["id"])
+    chosen = texts.join(F.broadcast(picked.select("id")), "id", "left_semi")
+    chosen = chosen.groupBy("id").agg(F.min("text").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     worded = cut(
         chosen.withColumn("id", F.col("id").cast(kind))
@@ -264,7 +273,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", body: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             odds = model.log_odds([t.as_py() for t in batch["text"]])
-            shares = np.round(1 / (1 + np.exp(-odds)), 6)
+            shares = np.round(probability(odds), 6)
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], *(pa.array(column) for column in shares.T)], ["id", *names]
             )
