@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from corpusward.catalog import tables as t
@@ -10,6 +12,7 @@ from corpusward.functions import access, guard, text
 from corpusward.operators import admin, cache, chunking, reports, versions
 from corpusward.operators.running import id_bucket
 from corpusward.plans import ingest
+from corpusward.session import scratch_path
 
 C = F.col
 QUERIES, SQL = {}, {}
@@ -366,6 +369,31 @@ def cache_miss_split(spark, sf):
     return cache.misses(asked, hits).select("query_id", t.joined("groups").alias("groups"))
 
 
+@query(f"""WITH {t.RETRIEVED}, behind AS (
+  SELECT query_id, list_sort(list_distinct(flatten(list(allowed_groups)))) AS allowed, list_sort(list_distinct(list(filename))) AS files,
+    count(DISTINCT allowed_groups) AS n_lists FROM retrieved GROUP BY query_id)
+SELECT 'answer ' || query_id AS response_text, array_to_string(allowed, ',') AS groups, array_to_string(files, ',') AS files, n_lists,
+  TIMESTAMP '2024-01-01 00:00:00' + to_seconds((query_id % 240) * 60) AS created_at
+FROM behind WHERE query_id % 3 <> 0 AND query_id % 240 > 180""")
+def cache_write_back(spark, sf):
+    found = t.retrieved(spark, sf)
+    asked = found.select("query_id").distinct()
+    answers = asked.select(
+        "query_id", F.concat(F.lit("question "), "query_id").alias("query"), F.concat(F.lit("answer "), "query_id").alias("response"),
+        F.when(C("query_id") % 3 != 0, access.strings("file")).otherwise(access.strings()).alias("citations"),
+    )
+    vectors = asked.select("query_id", F.array(C("query_id").cast("double")).alias("dense"))
+    times = asked.select("query_id", F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + C("query_id") % 240 * 60).alias("ts"))
+    path = scratch_path(spark, "cache")
+    entries = cache.new_entries(answers, found, vectors, times)
+    for half in (0, 1, 1):  # the second batch is repeated
+        cache.write_entries(entries.filter(F.pmod("entry_id", F.lit(2)) == half), path, half)
+    return cache.read_entries(spark, path, datetime(2024, 1, 1, 4)).select(
+        "response_text", t.joined("allowed_groups").alias("groups"), t.joined("files").alias("files"),
+        F.size("chunk_groups").cast("bigint").alias("n_lists"), C("created_at").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
 @query(f"""WITH {t.CACHE}, updated AS (SELECT DISTINCT source FROM documents WHERE doc_id % 200 = 7)
 SELECT entry_id FROM cache WHERE entry_id NOT IN (
   SELECT entry_id FROM (SELECT entry_id, unnest(files) AS f FROM cache) JOIN updated ON source = f)""")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusward.functions import access
 from corpusward.functions.times import micros
 from corpusward.operators.search import dense_topk
+from corpusward.schemas import ANSWER_CACHE
 
 MAX_DISTANCE = 0.15
 TTL_SECONDS = 3600
@@ -64,9 +67,52 @@ def misses(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return questions.join(hits.select("query_id"), "query_id", "left_anti")
 
 
-def new_entries(answers: DataFrame) -> DataFrame:
-    """Cache only answers that cite at least one retrieved file."""
-    return answers.filter(F.size("citations") > 0)
+def new_entries(answers: DataFrame, retrieved: DataFrame, encoded: DataFrame, times: DataFrame) -> DataFrame:
+    """Entries, as ``schemas.ANSWER_CACHE`` has them, for answers that cite at least one retrieved file.
+
+    ``retrieved``: the chunks behind the answers, some per question; ``encoded``: ``query_id, dense``
+    of the plain questions; ``times``: ``query_id, ts``. An entry keeps the groups of each of its
+    chunks and all their files, so that ``lookup`` and ``invalidate`` can judge it later.
+    """
+    behind = retrieved.groupBy("query_id").agg(
+        F.array_sort(F.collect_set("allowed_groups")).alias("chunk_groups"),
+        F.array_sort(F.collect_set("filename")).alias("files"),
+    )
+    entries = answers.filter(F.size("citations") > 0).join(behind, "query_id")
+    entries = entries.join(encoded.select("query_id", "dense"), "query_id").join(
+        times.select("query_id", F.col("ts").alias("created_at")), "query_id")
+    return entries.select(
+        F.xxhash64("query_id", "query", "created_at").alias("entry_id"), F.col("query").alias("query_text"),
+        F.col("response").alias("response_text"),
+        F.array_sort(F.array_distinct(F.flatten("chunk_groups"))).alias("allowed_groups"),
+        "chunk_groups", "files", "dense", "created_at",
+    )
+
+
+def write_entries(entries: DataFrame, path: str, batch_id: int) -> None:
+    """Store a batch's entries by the hour they were made in; a repeated batch replaces its own."""
+    hour = F.date_format("created_at", "yyyyMMddHH").cast("int")
+    entries.withColumn("hour", hour).write.mode("overwrite").partitionBy("hour").parquet(f"{path}/batch_id={batch_id}")
+
+
+def read_entries(
+    spark: SparkSession, path: str, as_of: datetime, ttl_seconds: int = TTL_SECONDS
+) -> DataFrame:
+    """Entries that are live at ``as_of``, a time in the session's zone; only the folders of their
+    hours are read.
+
+    Of entries made more than once for the same words and files the newest is read, ties to the
+    smaller id.
+    """
+    oldest = as_of - timedelta(seconds=ttl_seconds)
+    first, last = (int(moment.strftime("%Y%m%d%H")) for moment in (oldest, as_of))
+    stored = spark.read.schema(f"{ANSWER_CACHE}, batch_id BIGINT, hour INT").parquet(path)
+    now = F.lit(as_of.isoformat(" ")).cast("timestamp")
+    recent = stored.filter(F.col("hour").between(first, last) & (F.col("created_at") <= now))
+    columns = [c for c in recent.columns if c not in ("batch_id", "hour")]
+    newest = F.max_by(F.struct(*columns), F.struct("created_at", -F.col("entry_id").cast("decimal(20,0)")))
+    found = live(recent, now, ttl_seconds).groupBy("query_text", "files", "chunk_groups").agg(newest.alias("e"))
+    return found.select("e.*")
 
 
 def invalidate(cache: DataFrame, updated: DataFrame, files: str = "files") -> DataFrame:

@@ -79,6 +79,6 @@ def answer(
         "hits": hits,
         "retrieved": retrieved,
         "answers": answers,
-        "entries": cache.new_entries(answers).join(plain, "query_id"),
+        "entries": cache.new_entries(answers, retrieved, plain, questions),
         "audit": admin.audit_rows(served, principals, lineage),
     }

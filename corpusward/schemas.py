@@ -20,8 +20,8 @@ INDEX = (
 )
 
 ANSWER_CACHE = (
-    "query_text STRING, response_text STRING, allowed_groups ARRAY<STRING>, "
-    "chunk_groups ARRAY<ARRAY<STRING>>, query_vec ARRAY<FLOAT>, created_at TIMESTAMP"
+    "entry_id BIGINT, query_text STRING, response_text STRING, allowed_groups ARRAY<STRING>, "
+    "chunk_groups ARRAY<ARRAY<STRING>>, files ARRAY<STRING>, dense ARRAY<DOUBLE>, created_at TIMESTAMP"
 )
 
 RETRIEVED = (

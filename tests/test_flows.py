@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusward import hooks
-from corpusward.operators import search, weights
+from corpusward.operators import cache, search, weights
 from corpusward.plans import answer, ingest
 from corpusward.session import cut
 from corpusward.sources import readers, sinks
@@ -174,7 +174,7 @@ def test_rows_of_a_file_in_many_splits(spark, tmp_path):
     assert len(chunks) > 10 and [line.split(" ")[0] for line in told] == [str(i) for i in range(3000)]
 
 
-def test_question_flow(spark):
+def test_question_flow(spark, tmp_path):
     chunks = spark.createDataFrame([
         (1, "policy.md", "confluence", ["Public"], "annual leave is twenty days"),
         (2, "bands.csv", "excel", ["HR"], "salary bands L3 L4"),
@@ -204,6 +204,17 @@ def test_question_flow(spark):
     assert audit[("annual leave", None)]["served_from"] == "cache"
     assert audit[("annual leave", None)]["retrieved_chunks"] is None
     assert audit[("salary bands", 8)]["retrieved_chunks"][0]["chunk_id"] == 2
+    # what was answered is found in the cache by whoever may see all of it, until it is too old
+    path = str(tmp_path / "cache")
+    cache.write_entries(out["entries"], path, 0)
+    cache.write_entries(out["entries"].limit(0), path, 1)
+    entries = cache.read_entries(spark, path, now + timedelta(seconds=3599))
+    assert entries.count() == 2 and cache.read_entries(spark, path, now + timedelta(seconds=3600)).isEmpty()
+    again = answer.answer(questions, people, entries, index, chunks, encoded, generated)
+    found = {r["query_id"]: r["response_text"] for r in again["hits"].collect()}
+    assert found[2] == "L3 [Source: bands.csv]" and "L3" not in found.get(1, "")
+    changed = spark.createDataFrame([("bands.csv",)], "filename string")
+    assert [r.files for r in cache.invalidate(entries, changed).collect()] == [["misc.md", "policy.md"]]
 
 
 def test_hooks_run_models(spark):
