@@ -245,7 +245,7 @@ def acl_leak_audit(spark, sf):
 
 @query(f"""WITH {t.REQUESTS}
 SELECT date_trunc('hour', ts) AS window_start, count(*) AS n_requests, quantile_disc(latency_ms, 0.95) AS p95_ms,
-  avg(cached::INT) AS cache_hit_rate, avg(failed::INT) AS failure_rate, sum(tokens)::BIGINT AS tokens,
+  avg(cached::INT) AS cache_hit_rate, avg(failed::INT) AS failure_rate, sum(tokens)::BIGINT AS tokens, sum(cost)::BIGINT AS cost,
   quantile_disc(latency_ms, 0.95) > 8000 AS slow, avg(cached::INT) < 0.2 AS cold_cache, avg(failed::INT) > 0.05 AS failing
 FROM requests GROUP BY 1""")
 def ops_rollup(spark, sf):
@@ -326,9 +326,12 @@ def page_dlq(spark, sf):
     return admin.dlq_page(t.dlq(spark, sf), "failed", 5, 50)
 
 
-@query(f"""WITH {t.MARKDOWN}, {t.SECTIONS}, {_MESSAGES}
+@query(f"""WITH {t.MARKDOWN}, {t.SECTIONS}, {_MESSAGES}, {_ROWS}, placed AS (
+  SELECT filename, coalesce(sum(length(row_text) + 1) OVER (PARTITION BY filename ORDER BY row_no
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 500 AS slot FROM rows)
 SELECT 'confluence' AS source_type, count(*) AS n_chunks, count(DISTINCT filename) AS n_files FROM sections
 UNION ALL SELECT 'slack', count(*), count(DISTINCT channel) FROM (SELECT DISTINCT channel, thread_no FROM threads)
+UNION ALL SELECT 'excel', count(*), count(DISTINCT filename) FROM (SELECT DISTINCT filename, slot FROM placed)
 UNION ALL SELECT 'pdf', count(*), count(DISTINCT source) FROM documents WHERE {t.sql_strip('text')} <> ''""")
 def union_corpus(spark, sf):
     pages = t.read(spark, sf, "documents").select(
@@ -336,7 +339,8 @@ def union_corpus(spark, sf):
     )
     chat = _messages(spark, sf).withColumn("filename", C("channel").cast("string"))
     everything = ingest.union_sources(
-        ingest.from_markdown(t.markdown(spark, sf)), ingest.from_messages(chat), ingest.from_pages(pages)
+        ingest.from_markdown(t.markdown(spark, sf)), ingest.from_messages(chat),
+        ingest.from_tables(_rows(spark, sf), id_bucket(C("row_no"))), ingest.from_pages(pages),
     )
     return everything.groupBy("source_type").agg(
         F.count("*").alias("n_chunks"), F.countDistinct("filename").alias("n_files")

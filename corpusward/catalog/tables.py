@@ -256,13 +256,17 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.col("value") * 100, 3).alias("latency_ms"),
         (F.col("event_type") == "view").alias("cached"), (F.col("event_type") == "error").alias("failed"),
         F.get_json_object("props", "$.k").cast("bigint").alias("tokens"),
+        # in millionths: what is served from the cache costs nothing
+        F.when(F.col("event_type") == "view", 0).otherwise(
+            F.get_json_object("props", "$.k").cast("bigint") * 3).cast("bigint").alias("cost"),
     )
 
 
 REQUESTS = """requests AS (
   SELECT ts, user_id AS caller, event_id, round(value * 100, 3) AS latency_ms,
          event_type = 'view' AS cached, event_type = 'error' AS failed,
-         CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens FROM events)"""
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens,
+         CASE WHEN event_type = 'view' THEN 0 ELSE 3 * CAST(json_extract_string(props, '$.k') AS BIGINT) END AS cost FROM events)"""
 
 
 def cache(spark: SparkSession, sf: str) -> DataFrame:
