@@ -84,11 +84,8 @@ def _encoded(spark, sf):
     """Index rows of all chunks, and the questions' vectors over the same vocabulary."""
     chunks = t.chunks(spark, sf)
     vocab = cut(weights.vocabulary(chunks))
-    small = weights.fits(vocab, weights.VOCABULARY_BOUND)
-    index = weights.encode(chunks, vocab, DIMS, small_vocabulary=small).join(
-        chunks.select("chunk_key", "allowed_groups"), "chunk_key"
-    )
-    asked = weights.encode(t.questions(spark, sf), vocab, DIMS, "query_id", "query", small_vocabulary=small)
+    index = weights.encode(chunks, vocab, DIMS, carry=("allowed_groups",))
+    asked = cut(weights.encode(t.questions(spark, sf), vocab, DIMS, "query_id", "query"))
     return chunks, index, asked
 
 

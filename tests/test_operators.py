@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 from datetime import datetime, timedelta
 from functools import partial
@@ -334,6 +335,44 @@ def test_weights_do_not_depend_on_the_join(spark):
     assert rows(small, "chunk_key", "word", "weight") == rows(large, "chunk_key", "word", "weight")
 
 
+def test_encoding_shuffles_words_by_part(spark, monkeypatch):
+    schema = "chunk_key long, text string, allowed_groups array<string>"
+    texts = [(i, " ".join(f"w{(i * j) % 23}" for j in range(40)), [f"g{i % 2}"]) for i in range(60)]
+    texts += [(3, "w1 w1 alone", ["twice"]), (None, "w2", ["x"]), (None, "w2 w3", ["y"]), (90, None, ["z"]), (91, " ", [])]
+    df = spark.createDataFrame(texts, schema)
+    vocab = weights.vocabulary(df).filter("word <> 'w5'").localCheckpoint()
+    monkeypatch.setattr(weights, "PART_CHARS", 700)
+    counts = {}
+    for key, text, _ in texts:
+        for word in (text or "").split():
+            if word != "w5":
+                counts[key, word] = counts.get((key, word), 0) + 1
+    about = {r["word"]: r for r in vocab.collect()}
+    expected = {}
+    for (key, word), n in counts.items():
+        expected.setdefault(key, {})[about[word]["token"]] = (1 + math.log(n)) * about[word]["idf"]
+    got = weights.encode(df, vocab, 8).collect()
+    assert len(got) == len(expected)
+    for r in got:
+        assert r["tokens"] == sorted(expected[r["chunk_key"]])
+        assert r["weights"] == pytest.approx([expected[r["chunk_key"]][t] for t in r["tokens"]])
+        dense = [0.0] * 8
+        for t, w in zip(r["tokens"], r["weights"], strict=True):
+            dense[t % 8] += w if t // 8 % 2 == 0 else -w
+        norm = math.sqrt(sum(x * x for x in dense))
+        assert r["dense"] == pytest.approx([x / norm for x in dense])
+    weighed = weights.lexical_weights(df, vocab)
+    assert {(r[0], r[1]): r[3] for r in weighed.collect()} == {
+        k: pytest.approx((1 + math.log(n)) * about[k[1]]["idf"]) for k, n in counts.items()}
+    # carried columns come by chunk, as a join by key gives them
+    joined = weights.encode(df, vocab, 8).join(df.select("chunk_key", "allowed_groups"), "chunk_key")
+    carried = weights.encode(df, vocab, 8, carry=("allowed_groups",))
+    assert rows(carried, "chunk_key", "allowed_groups", "tokens") == rows(joined, "chunk_key", "allowed_groups", "tokens")
+    # nothing but words of parts meets the vocabulary: no row of a chunk does
+    held = [e for e in carried._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in e]
+    assert held and all("chunk_key" not in e for e in held)
+
+
 # --- cache, admin -------------------------------------------------------------------------------
 
 def test_cache_threshold_and_access_order(spark):
