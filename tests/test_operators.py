@@ -139,6 +139,24 @@ def _jobs(spark, name, run):
         spark.sparkContext.setJobGroup("", "")
 
 
+def test_sketches_lose_no_pair_and_spare_the_words(spark):
+    """All pairs at the threshold pass, unrelated ones that meet in a block do not."""
+    texts = {k: v for k, v in corpus(6, 200).items() if len(set(v.split())) >= 9}
+    texts |= {1000 + k: " ".join(f"u{k}_{i}" for i in range(80)) for k in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "chunk_key long, text string")
+    sets = dedup.word_sets(df).localCheckpoint()
+    keys = sets.select("key")
+    pairs = keys.withColumnRenamed("key", "first").crossJoin(keys.withColumnRenamed("key", "later")).filter("first < later")
+    passed = {(r[0], r[1]) for r in dedup.plausible(pairs, sets, sets, 0.9).collect()}
+    words = {k: set(v.split()) for k, v in texts.items()}
+    close = {(a, b) for a in words for b in words if a < b and len(words[a] & words[b]) >= 0.9 * len(words[a] | words[b])}
+    assert close and close <= passed
+    assert not [p for p in passed if p[0] >= 1000]
+    # the order of words counts every set, whatever the batches
+    order = dedup.word_order(spark.createDataFrame([(i, "all " + f"w{i % 7}") for i in range(60)], "chunk_key long, text string").transform(dedup.word_sets))
+    assert order[-1] == spark.range(1).select(F.xxhash64(F.lit("all"))).first()[0]
+
+
 def test_templates_cost_no_rounds(spark):
     """Different texts of one template: as many jobs for 8 of them as for 512, and no pairs formed."""
     template, counts = [f"t{i}" for i in range(60)], []
