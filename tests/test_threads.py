@@ -57,3 +57,77 @@ def test_long_threads_in_parts_and_late_rows(stateful, tmp_path):
     assert rows == [(0, 0, 10, False), (0, 1, 10, False), (0, 2, 5, True), (1, 0, 2, True)]
     assert late == 1
     assert got.filter("part = 1").first().text.split("\n")[0] == "User U: m10"
+
+
+class _Value:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class _List(_Value):
+    calls = 0
+
+    def get(self):
+        self.calls += 1
+        return iter(self.value)
+
+    def put(self, rows):
+        self.calls += 1
+        self.value = list(rows)
+
+    def appendList(self, rows):
+        self.value = (self.value or []) + list(rows)
+
+    def clear(self):
+        self.value = None
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getListState(self, name, schema):
+        return _List()
+
+    def getValueState(self, name, schema):
+        return _Value()
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, when):
+        self.timers.remove(when)
+
+    def registerTimer(self, when):
+        self.timers.append(when)
+
+
+class _Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_waiting_messages_are_written_once():
+    """Messages above the watermark are added to the state, never read back to be written again."""
+    import pandas as pd
+
+    job, handle = threads.Threads(1_000_000, 1000), _Handle()
+    job.init(handle)
+    frame = pd.DataFrame({"at": [3_000_000, 0, 100_000], "pos": [3, 1, 2], "line": ["c", "a", "b"]})
+    assert list(job.handleInputRows(("x",), iter([frame]), _Now(0))) == []
+    assert job.waiting.calls == 0 and len(job.waiting.value) == 3 and len(handle.timers) == 1
+    out = list(job.handleExpiredTimer(("x",), _Now(2_000_000 // 1000 + 500), None))
+    assert [tuple(r) for r in out[0][["thread_no", "n_messages", "text", "closed"]].itertuples(index=False)] == [(0, 2, "a\nb", True)]
+    assert [row[2] for row in job.waiting.value] == ["c"] and len(handle.timers) == 1
