@@ -130,3 +130,44 @@ def test_versions_within_one_batch(spark, tmp_path):
     corpus.ingest_batch(store, readers.landed(files), 0)
     assert [(r.version, r.text) for r in store.active().collect()] == [(2, "# one\nsame text here")]
     assert store.table("chunks").count() == 2
+
+
+def _files(spark, rows):
+    made = spark.createDataFrame(rows, "path STRING, value STRING, modified TIMESTAMP")
+    return readers.landed(made.withColumn("modified", F.lit("2024-01-01").cast("timestamp")))
+
+
+def test_a_batch_without_chunks_takes_few_jobs(spark, tmp_path):
+    store = corpus.Store(spark, str(tmp_path / "store"))
+    broken = _files(spark, [(f"/a/slack/{i}.json", '[{"user": ', None) for i in range(3)])
+    for batch_id, files in enumerate((broken, broken.limit(0))):
+        spark.sparkContext.setJobGroup(f"without chunks {batch_id}", "a batch that stores no chunk")
+        corpus.ingest_batch(store, files, batch_id)
+    jobs = [len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"without chunks {i}")) for i in (0, 1)]
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] <= 25 and jobs[1] <= 10
+    # the next batch is the first with fingerprints; the one after it meets them
+    for batch_id, name in ((2, "x"), (3, "y")):
+        corpus.ingest_batch(store, _files(spark, [(f"/a/confluence/{name}.md", f"# one\n{LONG}", None)]), batch_id)
+    assert store.committed() == [0, 1, 2, 3]
+    assert [r.filename for r in store.table("chunks").collect()] == ["x.md"]
+    assert [r.n_chunks for r in store.table("documents").collect()] == [1, 1]
+    assert store.table("rejects").count() == 3
+    assert store.table("commits").agg(F.sum("files"), F.sum("extracted"), F.sum("stored")).first()[:] == (5, 2, 1)
+
+
+def test_a_replay_without_chunks_leaves_none_of_the_first_run(spark, tmp_path):
+    store = corpus.Store(spark, str(tmp_path / "store"))
+
+    def kill():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        corpus.ingest_batch(
+            store, _files(spark, [("/a/confluence/x.md", f"# one\n{LONG}", None)]), 0, before_commit=kill)
+    corpus.ingest_batch(store, _files(spark, [("/a/confluence/x.md", None, None)]), 0)
+    assert store.active().isEmpty() and store.active("index").isEmpty() and store.table("documents").isEmpty()
+    assert [r.error_message for r in store.table("rejects").collect()] == ["cannot be read"]
+    # what the first run remembered is no duplicate of a later file
+    corpus.ingest_batch(store, _files(spark, [("/a/confluence/z.md", f"# one\n{LONG}", None)]), 1)
+    assert [r.filename for r in store.active().collect()] == ["z.md"]
