@@ -182,7 +182,7 @@ SELECT query_id, md5('Context Chunks:' || chr(10) || context || chr(10) || chr(1
   || chr(10) || 'Answer:') AS prompt FROM blocks JOIN audit_logs ON id = query_id""")
 def assemble_context(spark, sf):
     asked = t.audit_logs(spark, sf).select(C("id").alias("query_id"), "query")
-    ready = reports.context(t.retrieved(spark, sf)).join(asked, "query_id")
+    ready = reports.shared_context(asked, t.found(spark, sf), t.chunks(spark, sf))
     return ready.select("query_id", F.md5(guard.prompt(C("context"), C("query"))).alias("prompt"))
 
 

@@ -32,6 +32,26 @@ def context(retrieved: DataFrame) -> DataFrame:
     )
 
 
+def shared_context(questions: DataFrame, found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``questions`` with ``context, files, n_chunks``, those of ``context`` for ``found`` with its chunks.
+
+    ``found(query_id, rank, chunk_key)`` has no texts. Questions that found the same chunks in the same
+    order share one context: texts move once per distinct list, never once per question, and
+    the context meets its questions where it was made. Questions without a chunk are left out.
+    """
+    lists = found.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "chunk_key"))).alias("__list")
+    )
+    asked = questions.join(lists, "query_id")
+    retrieved = (
+        lists.select("__list").distinct().select("__list", F.inline("__list"))
+        .join(chunks.select("chunk_key", "filename", "text"), "chunk_key")
+        .select(F.col("__list").alias("query_id"), "rank", "filename", "text", F.lit(None).cast("double").alias("rerank_score"))
+    )
+    made = context(retrieved).select(F.col("query_id").alias("__list"), "context", "files", "n_chunks")
+    return asked.join(made, "__list").drop("__list")
+
+
 def answer_groups(retrieved: DataFrame) -> DataFrame:
     """Union of the groups of all chunks behind an answer."""
     return retrieved.groupBy("query_id").agg(

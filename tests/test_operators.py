@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusward.catalog import relational
 from corpusward.operators import admin, ann, cache, chunking, dedup, reports, search, versions, weights
 from corpusward.operators.running import id_bucket, with_running
 from corpusward.operators.skew import join_hot
@@ -442,3 +443,37 @@ def test_only_admins_see_rows(spark):
     people = spark.createDataFrame([("root", ["admin"]), ("ann", ["HR"])], "username string, groups array<string>")
     assert admin.for_admins(spark.range(3), people, F.lit("root")).count() == 3
     assert admin.for_admins(spark.range(3), people, F.lit("ann")).count() == 0
+
+
+def test_questions_with_equal_results_share_a_context(spark):
+    found = spark.createDataFrame(
+        [(1, 1, 10), (1, 2, 11), (2, 1, 10), (2, 2, 11), (3, 1, 11), (3, 2, 10), (4, 1, 99), (5, 1, None), (6, 1, 12), (6, 1, 12),
+         (7, 1, 13), (7, 2, 99), (None, 1, 10)], "query_id long, rank int, chunk_key long")
+    chunks = spark.createDataFrame(
+        [(10, "b.md", "ten"), (11, "a.md", "eleven"), (12, "c.md", "twelve"), (12, "c.md", "again"), (13, "d.md", None)],
+        "chunk_key long, filename string, text string")
+    asked = spark.createDataFrame([(i, f"q{i}") for i in (1, 2, 3, 3, 4, 5, 6, 7, 8)] + [(None, "none")], "query_id long, query string")
+    retrieved = found.withColumn("rerank_score", F.lit(0.5)).join(chunks, "chunk_key")
+    columns = ["query_id", "query", "context", "files", "n_chunks"]
+    plain = asked.join(reports.context(retrieved), "query_id").select(columns)
+    got = reports.shared_context(asked, found, chunks).select(columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert sorted(r.query_id for r in got.collect()) == [1, 2, 3, 3, 6, 7]
+
+
+def test_texts_move_once_per_list_of_results(spark, tmp_path, monkeypatch):
+    spark.range(300).selectExpr(
+        "id AS event_id", "timestamp_seconds(id) AS ts", "id % 5 AS user_id", "'click' AS event_type", "1.0D AS value",
+        """concat('{"k": ', id % 3, '}') AS props""").write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(4).selectExpr(
+        "id AS doc_id", "concat('s', id) AS source", "'en' AS lang", "repeat('text ', 50) AS text").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    moved, made = [], reports.context
+
+    def counted(retrieved):
+        moved.append(retrieved.count())
+        return made(retrieved)
+
+    monkeypatch.setattr(reports, "context", counted)
+    assert relational.QUERIES["assemble_context"](spark, str(tmp_path)).count() == 300
+    assert moved == [8]  # chunks 0 to 3 by threes, the last list with two
