@@ -40,6 +40,15 @@ class Memory(dict):
         return value
 
 
+    def add(self, values: dict) -> None:
+        """Remember ``values``, which were computed elsewhere, as if they had been asked for."""
+        if len(self) + len(values) > self.bound:
+            self.old = dict(self)
+            self.clear()
+        if len(values) <= self.bound:
+            self.update(values)
+
+
 class Kept:
     """What ``make`` returns, kept for a worker's next task and dropped when none comes soon.
 

@@ -1,9 +1,11 @@
 """Token ids as Parquet list columns, in id order, readable in part.
 
-*Encoding* runs row by row with the tokenizers library. Byte-level BPE never joins a blank to a
-character before it, so a text falls into units at these places; each worker remembers the ids of
-units it has met, within a bound, and asks the library for the others. Texts that hold a special
-token, and tokenizers of another make, go through the library whole.
+*Encoding* runs with the tokenizers library. Byte-level BPE never joins a blank to a character before
+it, so a text falls into units at these places; each worker remembers the ids of units it has met,
+within a bound, and asks the library for the others. Texts whose blanks are lone spaces and line ends
+are cut together, a few million characters at a time, and each of their distinct words is looked up
+once; the others are cut one by one. Texts that hold a special token, and tokenizers of another make,
+go through the library whole.
 
 *Files.* Documents are dealt to shards by id range and sorted, so that files and the rows in them
 ascend by id; nulls first, repeated ids in the order of their texts' hashes. A row holds its ids as a list
@@ -31,16 +33,19 @@ from contextlib import AbstractContextManager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusward.llm.memory import Kept, Memory, sliced
+from corpusward.llm.memory import LONGEST, Kept, Memory, sliced
 
 # Units that a generation of a worker's memory holds.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
+# Bytes of the texts that are cut together, if they are more than one.
+TOGETHER = 4 << 20
 WRITER = {
     "compression": "zstd",
     "parquet.writer.version": "v2",
@@ -136,6 +141,78 @@ class Encoder:
         first, *rest = text.replace("\n", " \n").split(" ")
         return self.units[first] + b"".join(map(self.words.__getitem__, rest))
 
+    def encode_all(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """``(counts, ids)``: ids of every text and ``end`` after it, all in one row, and how many."""
+        signs = ("\n\n", *self.special)
+        body = [
+            "" if not text or not self.by_unit or any(sign in text for sign in signs) else text
+            for text in texts.to_pylist()
+        ]
+        cut = pc.split_pattern(pc.replace_substring(pa.array(body, pa.large_string()), "\n", " \n"), " ")
+        bounds = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        kinds, code = coded.dictionary, coded.indices.to_numpy().copy()
+        words = kinds.to_numpy(zero_copy_only=False).tolist()
+        del body, cut, coded
+        first, last = bounds[:-1], bounds[1:] - 1
+        # a piece without a letter stands for blanks in a row, unless the text ends with it
+        odd = np.zeros(len(words) + 1, bool)
+        if not "".join(words).replace("\n", "").isprintable():
+            odd[:-1] = [not word.replace("\n", "").isprintable() for word in words]
+        bare = np.zeros(len(words) + 1, bool)
+        bare[:-1] = pc.is_in(kinds, pa.array(["", "\n"], kinds.type)).to_numpy(zero_copy_only=False)
+        at = odd[code] | bare[code]
+        at[last] = odd[code[last]]
+        at[first] |= bare[code[first]]
+        single = np.unique(np.searchsorted(bounds, np.flatnonzero(at), "right") - 1)
+        # every text's first piece and those that go alone get values of their own
+        values = self._values(words)
+        heads = [self.units[words[c]] if words[c] else b"" for c in code[first].tolist()]
+        for row in single.tolist():
+            heads[row] = self.encode(texts[row].as_py())
+            code[bounds[row] : bounds[row + 1]] = len(words)
+        code[first] = np.arange(len(first)) + len(words) + 2
+        values += [b"", end, *heads]
+        code = np.insert(code, bounds[1:], len(words) + 1)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        n = sizes[code]
+        counts = np.add.reduceat(n, first + np.arange(len(first))) if len(first) else n
+        shift = (np.cumsum(sizes) - sizes)[code] - (np.cumsum(n) - n)
+        total = int(counts.sum())
+        kind = np.int32 if total + int(sizes.sum()) < 2**31 else np.int64
+        place = np.repeat(shift.astype(kind), n)
+        place += np.arange(total, dtype=kind)
+        return counts, np.frombuffer(b"".join(values), np.int32)[place]
+
+    def _values(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, each behind a blank; the way of most new words is spelled out."""
+        known, older = self.words, self.words.old
+        values = list(map(known.get, words))
+        new, packed, tokenize, blank, names = {}, self.packed, self.tokenize, self.blank, self.names
+        for i, value in enumerate(values):
+            if value is not None:
+                continue
+            word = words[i]
+            value = older.get(word)
+            if value is None:
+                bare = word if word.isalpha() else word.rstrip(_MARKS)
+                if not bare.isalpha():
+                    value = self._word(word)
+                else:
+                    same = bare is word
+                    value = None if same else known.get(bare) or older.get(bare)
+                    if value is None:
+                        mapped = bare if bare.isascii() else bare.encode().decode("latin-1").translate(names)
+                        tokens = tokenize(blank + mapped)
+                        value = packed[tokens[0].id] if len(tokens) == 1 else b"".join([packed[t.id] for t in tokens])
+                    if not same:
+                        value += self.parts[word[len(bare) :]]
+            values[i] = value
+            if len(word) <= LONGEST:
+                new[word] = value
+        known.add(new)
+        return values
+
     def _word(self, text: str) -> bytes:
         if text.isalpha():
             if not text.isascii():
@@ -155,23 +232,33 @@ def encoder(spec: str) -> AbstractContextManager[Encoder]:
     return _KEPT.of(spec)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts have ``TOGETHER`` bytes at most, or one row."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(upto, before + TOGETHER, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def _encoded(spec: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         with encoder(spec) as own:
-            for batch in sliced(batches):
-                yield batch, [own.encode(text.as_py()) + end for text in batch.column(1)]
+            for batch in _together(batches):
+                yield batch, *own.encode_all(batch.column(1), end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, offset = TaskContext.get().partitionId(), 0
-        for batch, rows in encoded(batches):
-            counts = np.array([len(r) // 4 for r in rows], np.int64)
+        for batch, counts, flat in encoded(batches):
             ends = np.cumsum(counts)
-            flat = np.frombuffer(b"".join(rows), "<u4").astype(np.int32)
             bounds = np.concatenate([[0], ends]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.full(len(rows), shard, np.int64)),
+                [batch.column(0), pa.array(np.full(len(counts), shard, np.int64)),
                  pa.array(offset + ends - counts), pa.array(counts),
                  pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))],
                 ["id", "shard", "offset", "n_tokens", "ids"],

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import public_tokenizers
@@ -109,3 +110,37 @@ def test_piece_round_trip(spark):
     assert all(by_id[key] == own.encode(text or "") for key, text in ROWS)
     decoded = pieces.decode(pieces.encode(df, PIECES), PIECES).collect()
     assert {r.doc_id: r.text for r in decoded} == {key: text or "" for key, text in ROWS}
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+@pytest.mark.parametrize("remembered", [7, 100_000])
+def test_texts_cut_together_equal_the_library(remembered, kind):
+    own = tokens.Encoder(open(BYTES, encoding="utf-8").read(), remembered)
+    library = Tokenizer.from_file(BYTES)
+    texts = [None, "", " ", "\n", "a ", "a\n", " a", "\na", "a\n\nb", "a \nb", "a\n b", "a  b", "a\t b", "a\n\tb", "a\xa0b", "a,.\nb!"]
+    texts += random_texts() + [t for _, t in ROWS]
+    end = np.array([2], "<u4").tobytes()
+    for some in (texts, texts[:1], [], texts[5:9]):
+        counts, ids = own.encode_all(pa.array(some, kind), end)
+        want = [(library.encode(t, add_special_tokens=False).ids if t else []) + [2] for t in some]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    sliced = own.encode_all(pa.array(["x", "a b", "c"], kind).slice(1))
+    assert sliced[1].tolist() == library.encode("a b").ids + library.encode("c").ids
+    other = tokens.Encoder(Tokenizer.from_file(BYTES).to_str().replace('"use_regex":true', '"use_regex":false'))
+    assert not other.by_unit and other.encode_all(pa.array(["a b", None], kind))[0].tolist()[1] == 0
+
+
+def test_a_word_is_looked_up_once_for_texts_cut_together():
+    # hardly anything is remembered from one cut to the next
+    own, asked = tokens.Encoder(open(BYTES, encoding="utf-8").read(), 2), []
+    own.tokenize = lambda text, tokenize=own.tokenize: asked.append(text) or tokenize(text)
+    counts, _ = own.encode_all(pa.array(["start " + "zyxwv, qponm " * 500, "start zyxwv"] * 3))
+    assert len(counts) == 6 and len(asked) <= 10
+
+
+def test_slices_hold_a_bounded_number_of_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "TOGETHER", 10)
+    texts = ["aaaa", "bbbb", None, "éé", "c" * 30, "d", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["id", "text"])
+    got = [part.column(1).to_pylist() for part in tokens._together([batch, batch.slice(0, 0)])]
+    assert got == [["aaaa", "bbbb", None], ["éé"], ["c" * 30], ["d", ""]]
