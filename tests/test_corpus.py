@@ -8,6 +8,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from corpusward.functions import text
+from corpusward.operators import dedup, fingerprints
 from corpusward.plans import corpus
 from corpusward.sources import readers
 
@@ -171,3 +173,24 @@ def test_a_replay_without_chunks_leaves_none_of_the_first_run(spark, tmp_path):
     # what the first run remembered is no duplicate of a later file
     corpus.ingest_batch(store, _files(spark, [("/a/confluence/z.md", f"# one\n{LONG}", None)]), 1)
     assert [r.filename for r in store.active().collect()] == ["z.md"]
+
+
+def test_the_index_holds_the_ids_of_a_chunks_words(spark, tmp_path):
+    store = corpus.Store(spark, str(tmp_path / "store"))
+    bodies = [f"# one\n{LONG}", "# zwei\nñandú 北京 \U0001f600 a\u00a0b a b\tb", "# drei"]
+    corpus.ingest_batch(store, _files(spark, [(f"/a/confluence/{i}.md", b, None) for i, b in enumerate(bodies)]), 0)
+    said = store.table("chunks").select("chunk_key", F.explode(text.word_set(F.col("text"))).alias("word"))
+    want = {(r.chunk_key, r.token) for r in said.select("chunk_key", text.token_id(F.col("word")).alias("token")).collect()}
+    rows = store.table("index").collect()
+    assert {(r.chunk_key, token) for r in rows for token in r.tokens} == want and len(rows) == 3
+    assert all(r.tokens == sorted(set(r.tokens)) for r in rows)
+
+
+def test_a_load_writes_a_file_a_shard(spark, tmp_path):
+    made = spark.range(2000, numPartitions=8).select(
+        F.col("id").alias("chunk_key"), F.concat_ws(" ", F.lit("same"), F.col("id").cast("string")).alias("text"))
+    sets, state = dedup.word_sets(made), tmp_path / "state"
+    fingerprints.remember(spark, sets, str(state), 0)
+    for name in ("sets", "blocks"):
+        shards = list((state / name / "batch_id=0").glob("shard=*"))
+        assert len(shards) > 32 and all(len(list(s.glob("part-*"))) == 1 for s in shards)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusward.plans import corpus
@@ -101,3 +103,57 @@ def test_a_killed_batch_buries_nothing_twice(stateful, tmp_path):
     assert attempts == [0, 1, 2, 3] and names(store) == {"good.json"}
     retries.request_replay(store, retries.dead_letters(store))
     assert [row[3] for row in letters(store)] == ["RETRIED"]
+
+
+class Handle:
+    """State of one key in memory; counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+def test_files_of_a_shard_share_their_state():
+    handle, files = Handle(), [f"/d/slack/{i}.json" for i in range(500)]
+    attempts = retries.Attempts(max_retries=3, cap_seconds=60, second_ms=10)
+    attempts.init(handle)
+    at = lambda ms: SimpleNamespace(getCurrentProcessingTimeInMs=lambda: ms)
+
+    def told(ms, *rows):
+        frame = pd.DataFrame(rows, columns=["filepath", "source_type", "error_message", "attempt"])
+        out = list(attempts.handleInputRows((7,), iter([frame.assign(shard=7)]), at(ms)))
+        return sorted(tuple(r) for f in out for r in f[["path", "attempt", "kind", "error_message"]].itertuples(index=False))
+
+    def fired(ms):
+        out = list(attempts.handleExpiredTimer((7,), at(ms), None))
+        return sorted(tuple(r) for f in out for r in f[["path", "attempt", "kind"]].itertuples(index=False))
+
+    assert told(1000, *[(f, "slack", e, 0) for f in files for e in ("z", "broken")]) == []
+    assert handle.calls == 3 and handle.timers == {1010}
+    assert fired(1009) == []
+    assert fired(1010) == [(f, 1, "due") for f in sorted(files)]
+    assert fired(1010) == []  # once only
+    a, b, c = files[:3]
+    # an older attempt changes nothing; waits are told apart; the last retry makes a dead letter
+    assert told(2000, (a, "slack", "old", 0), (b, "slack", "again", 1), (c, "slack", "z", 3), (c, "slack", "gone", 3)) == [
+        (c, 3, "dead", "gone")]
+    assert handle.timers == {1010, 2020} and fired(2020) == [(b, 2, "due")]
+    # a request takes the place of what the file waits for, and lets it begin anew
+    assert told(3000, (b, "slack", "again", 2), (b, "slack", None, -1), (c, "slack", None, -1)) == [
+        (b, 0, "due", None), (c, 0, "due", None)]
+    assert fired(3040) == []
+    assert told(4000, (c, "slack", "broken", 0)) == [] and fired(4010) == [(c, 1, "due")]
